@@ -12,11 +12,13 @@ from rivulet.session import cut
 #: Each level of refinement reads so many further bits of the hash.
 BITS = 10
 LEVELS = 6
+#: A budget is met if it is missed by no more than this share of it; so many thresholds are tried.
+TOLERANCE, ROUNDS = 0.002, 8
 
 
 @dataclass(frozen=True)
 class Budget:
-    """What one source contributes: every record full times, and the records below threshold once more."""
+    """What one source contributes: every record full times, and once more the records below threshold that are not skipped."""
 
     source: str
     size: int
@@ -25,6 +27,7 @@ class Budget:
     wanted: float
     full: int
     threshold: int
+    skipped: tuple[int, ...]
     extra: int
 
 
@@ -33,17 +36,46 @@ def _hash(key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), key), 64 - BITS * LEVELS)
 
 
+def _cross(at: DataFrame, left: dict[str, float], lo: dict[str, int]) -> dict[str, tuple[int, int, int]]:
+    """For each source (hash, tokens, below): the record at which the tokens from hash lo on exceed left, and those before it.
+
+    A source that never exceeds its budget is left out. Each level is a histogram of tokens by source and hash bucket with
+    2**BITS rows for each source at most; only the bucket in which the running sum crosses the budget is refined.
+    """
+    prefix, below, last = dict.fromkeys(left, 0), dict.fromkeys(left, 0), {}
+    for level in range(1, LEVELS + 1):
+        if not prefix:
+            break
+        shift = BITS * (LEVELS - level)
+        pick = lambda values: F.element_at(F.create_map(*[x for s, v in values.items() for x in (F.lit(s), F.lit(v).cast("bigint"))]), F.col("source"))
+        inside = at.where(
+            F.col("source").isin(*prefix)
+            & (F.shiftright("h", shift + BITS) == pick(prefix))
+            & (F.col("h") >= pick({s: lo[s] for s in prefix}))
+        )
+        rows = inside.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("n_tokens").alias("n")).collect()
+        for s in list(prefix):
+            for r in sorted((r for r in rows if r["source"] == s), key=lambda r: r["bucket"]):
+                if below[s] + r["n"] > left[s]:
+                    prefix[s], last[s] = r["bucket"], r["n"]
+                    break
+                below[s] += r["n"]
+            else:
+                del prefix[s]
+    return {s: (prefix[s], last[s], below[s]) for s in prefix}
+
+
 def budgets(sized: DataFrame, targets: DataFrame, total: int | None = None) -> list[Budget]:
     """The budget of each source of targets that has any tokens. sized: source, n_tokens, h.
 
     The total is given, or the largest one at which every source can still contribute its share within its cap. A source
-    asked for more than its cap contributes the cap. The remainder of a budget beyond whole copies is found in
-    histograms of tokens by source and hash bucket: the bucket in which the running sum crosses the remainder is refined
-    by the next bits of the hash, all others are settled. Histograms have at most 2**BITS rows for each source.
+    asked for more than its cap contributes the cap. What a budget needs beyond whole copies is taken in hash order up to
+    a threshold. The record that crosses the budget is taken if it overshoots it by less than TOLERANCE, else skipped, and
+    the search goes on behind it with what is left, for ROUNDS thresholds at most.
     """
     plan = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.collect() if r["source"] is not None}
     sizes = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect() if r["n"]}
-    live = {s: (*plan[s], sizes[s]) for s in plan if s in sizes and plan[s][0] > 0 and plan[s][1] > 0}
+    live = {s: (*plan[s], sizes[s]) for s in plan if s in sizes and plan[s][0] and plan[s][0] > 0 and (plan[s][1] or 0) > 0}
     if not live:
         return []
     if total is None:
@@ -51,27 +83,34 @@ def budgets(sized: DataFrame, targets: DataFrame, total: int | None = None) -> l
     wanted = {s: min(share * total, float(n * cap)) for s, (share, cap, n) in live.items()}
     full = {s: int(wanted[s] // live[s][2]) for s in live}
     left = {s: wanted[s] - full[s] * live[s][2] for s in live}
-    start = dict.fromkeys(live, 0)  # the lower end of the bucket that is still open
-    below = dict.fromkeys(live, 0)  # tokens below it
-    for level in range(1, LEVELS + 1):
-        shift = BITS * (LEVELS - level)
-        open_at = F.create_map(*[x for s in live for x in (F.lit(s), F.lit(start[s] >> (shift + BITS)))])
-        inside = sized.where(F.shiftright("h", shift + BITS) == F.element_at(open_at, F.col("source")))
-        rows = (
-            inside.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("n_tokens").alias("n")).collect()
-        )
-        for s in live:
-            for r in sorted((r for r in rows if r["source"] == s), key=lambda r: r["bucket"]):
-                start[s] = r["bucket"] << shift
-                if below[s] + r["n"] > left[s]:
-                    break
-                below[s] += r["n"]
-            else:  # the budget takes everything in the open bucket
-                start[s] = ((start[s] >> (shift + BITS)) + 1) << (shift + BITS)
-                left[s] = below[s]
-        # a source whose bucket is settled finds no row in it any more and stays as it is
+    extra, threshold = dict.fromkeys(live, 0), dict.fromkeys(live, 0)
+    skipped: dict[str, list[int]] = {s: [] for s in live}
+    open_ = {s for s in live if left[s] > TOLERANCE * wanted[s]}
+    for turn in range(ROUNDS):
+        if not open_:
+            break
+        found = _cross(sized, {s: left[s] for s in open_}, {s: threshold[s] for s in open_})
+        for s in sorted(open_):
+            if s not in found:  # what is left takes all further records
+                threshold[s] = 1 << (BITS * LEVELS)
+                open_.discard(s)
+                continue
+            h, n, below = found[s]
+            left[s] -= below
+            extra[s] += below
+            threshold[s] = h
+            over, under = n - left[s], left[s]
+            if over <= TOLERANCE * wanted[s] or (turn == ROUNDS - 1 and over < under):
+                threshold[s], extra[s] = h + 1, extra[s] + n
+                open_.discard(s)
+            elif under <= TOLERANCE * wanted[s]:
+                open_.discard(s)
+            elif turn < ROUNDS - 1:
+                skipped[s].append(h)
+                threshold[s] = h + 1
     return [
-        Budget(s, live[s][2], live[s][0], live[s][1], wanted[s], full[s], start[s], below[s]) for s in sorted(live)
+        Budget(s, live[s][2], live[s][0], live[s][1], wanted[s], full[s], threshold[s], tuple(skipped[s]), extra[s])
+        for s in sorted(live)
     ]
 
 
@@ -79,9 +118,9 @@ def mix(sized: DataFrame, targets: DataFrame, id_col: str, total: int | None = N
     """The mixture (id, source, n_tokens, copies) and the report by source.
 
     sized has id_col, source and n_tokens of every record; records of sources that targets does not list, of null source
-    and without tokens are left out. Whole records are taken, so a share can miss its target by less than one record.
+    and without tokens are left out. Whole records are taken, so a share can miss its target by part of a record.
     Records are taken in the order of a hash of their id: equal ids are taken together. Nothing is sorted: membership
-    is a comparison with a number for each source. Report: source, size, target_share, max_repeats, tokens, actual_share,
+    is a comparison with a threshold and a few skipped records for each source. Report: source, size, target_share, max_repeats, tokens, actual_share,
     repeats (the most often that a record is used). A listed source without tokens is reported with none.
     """
     at = cut(
@@ -91,9 +130,10 @@ def mix(sized: DataFrame, targets: DataFrame, id_col: str, total: int | None = N
     )
     plan = budgets(at, targets, total)
     spark = at.sparkSession
-    rows = [(b.source, b.full, b.threshold, b.size) for b in plan]
-    known = spark.createDataFrame(rows, "source string, full int, threshold bigint, size bigint")
-    copies = F.col("full") + (F.col("h") < F.col("threshold")).cast("int")
+    rows = [(b.source, b.full, b.threshold, list(b.skipped), b.size) for b in plan]
+    known = spark.createDataFrame(rows, "source string, full int, threshold bigint, skipped array<bigint>, size bigint")
+    more = (F.col("h") < F.col("threshold")) & ~F.array_contains("skipped", F.col("h"))
+    copies = F.col("full") + more.cast("int")
     chosen = (
         at.join(F.broadcast(known), "source")  # one row for each listed source
         .select(F.col("_id").alias(id_col), "source", "n_tokens", copies.alias("copies"))
