@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import distinct, frequent, mix, split, tokens
+from rivulet.llm import distinct, frequent, language, mix, split, tokens
 from rivulet.session import cut, table
 
 TOKENS_SHARE, ITEMS_SHARE = 0.0031, 0.01
@@ -47,6 +47,53 @@ def _author_registers(spark: SparkSession, d: str) -> DataFrame:
     return distinct.registers(rows, ["day", "subreddit", "keyword"], "author")
 
 
+#: A segment counts as written in its language from this confidence and so many words on.
+SURE, MIN_WORDS = 0.55, 4
+
+
+def _network(spark: SparkSession, d: str) -> language.Network:
+    comments = table(spark, d, "reddit_comments_cleaned")
+    claimed = comments.select(language.stated(F.col("language")).alias("lang"), F.col("original_body").alias("text"))
+    return language.fit(table(spark, d, "language_samples"), claimed)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The languages in which a comment is written and which its label does not state."""
+    df = table(spark, d, "reddit_comments_cleaned").where(F.col("id").isNotNull() & ~F.col("id").isin("", "None"))
+    df = df.withColumn("stated", language.stated(F.col("language")))
+    found = language.segments(df, _network(spark, d), ["id", "stated"], "original_body", with_text=False)
+    return (
+        found.where(F.col("n_words") >= MIN_WORDS)
+        .select("id", "stated", F.explode("segments").alias("s"))
+        .where((F.col("s.language") != language.UND) & (F.col("s.confidence") >= SURE) & (F.col("s.words") >= MIN_WORDS))
+        .where(~F.col("stated").eqNullSafe(F.col("s.language")))
+        .select("id", F.col("s.language").alias("language"))
+        .distinct()
+    )
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of every cleaned comment with its language and confidence, beside the label."""
+    df = table(spark, d, "reddit_comments_cleaned").withColumn("stated", language.stated(F.col("language")))
+    keys = ["kafka_partition", "kafka_offset", "id", "stated"]
+    found = language.segments(df, _network(spark, d), keys, "original_body")
+    return found.select(*keys, F.posexplode("segments").alias("segment", "s")).select(*keys, "segment", "s.*")
+
+
+def p5_comments(spark: SparkSession, d: str) -> DataFrame:
+    """The main language of every raw comment, by words, with its confidence and the number of languages."""
+    keys = ["kafka_partition", "kafka_offset", "id"]
+    found = language.segments(table(spark, d, "reddit_comments"), _network(spark, d), keys, "body", with_text=False)
+    by_words = lambda x, y: (y["words"] - x["words"]).cast("int")
+    main = F.element_at(F.array_sort("segments", by_words), 1)
+    return found.select(
+        *keys,
+        F.when(F.size("segments") > 0, main["language"]).alias("language"),
+        F.when(F.size("segments") > 0, main["confidence"]).alias("confidence"),
+        F.size(F.array_distinct("segments.language")).alias("n_languages"),
+    )
+
+
 _KEYS = ["day", "subreddit", "keyword"]
 
 
@@ -129,7 +176,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_counts, p6_authors, p6_published, p6_bounds, p8_ids, p9_mixture, p9_shares, p10_found, p10_pieces)
+    for f in (p1_found, p1_counts, p5_found, p5_segments, p5_comments, p6_authors, p6_published, p6_bounds, p8_ids, p9_mixture, p9_shares, p10_found, p10_pieces)
 }
 
 _P1 = """WITH t AS (SELECT lower(unnest(tokens)) AS item FROM reddit_comments_cleaned),
