@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import distinct, frequent, language, mix, split, tokens
+from rivulet.llm import abuse, distinct, frequent, language, mix, split, tokens
 from rivulet.session import cut, table
 
 TOKENS_SHARE, ITEMS_SHARE = 0.0031, 0.01
@@ -143,6 +143,31 @@ def p6_bounds(spark: SparkSession, d: str) -> DataFrame:
     return e.join(g, same, "left").groupBy("e.level").agg(F.count(F.lit(1)).alias("n_groups"), F.count(F.when(ok, 1)).alias("n_within"))
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    comments = table(spark, d, "reddit_comments")
+    scorer = abuse.fit(comments, table(spark, d, "moderation_labels"), table(spark, d, "language_samples"))
+    return abuse.score(comments, scorer, ["kafka_partition", "kafka_offset", "id", "subreddit"], "body")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The comments with an abusive body."""
+    found = _scored(spark, d).where((F.col("id") != "") & (F.col("score") >= abuse.THRESHOLD))
+    return found.select("id").distinct()
+
+
+def p7_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every comment, with the restored sentence that it comes from."""
+    return _scored(spark, d)
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per subreddit, the comments, the abusive ones and their share."""
+    bad = F.count(F.when(F.col("score") >= abuse.THRESHOLD, 1))
+    return _scored(spark, d).groupBy("subreddit").agg(
+        F.count(F.lit(1)).alias("n_comments"), bad.alias("n_abusive"), (bad / F.count(F.lit(1))).alias("rate")
+    )
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return tokens.encode(table(spark, d, "documents"))
@@ -176,7 +201,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_counts, p5_found, p5_segments, p5_comments, p6_authors, p6_published, p6_bounds, p8_ids, p9_mixture, p9_shares, p10_found, p10_pieces)
+    for f in (p1_found, p1_counts, p5_found, p5_segments, p5_comments, p6_authors, p6_published, p6_bounds, p7_found, p7_scores, p7_rates, p8_ids, p9_mixture, p9_shares, p10_found, p10_pieces)
 }
 
 _P1 = """WITH t AS (SELECT lower(unnest(tokens)) AS item FROM reddit_comments_cleaned),
