@@ -7,6 +7,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Suffixes from the longest on with what replaces them and the shortest stem they leave (fixed values).
 SUFFIXES = [
@@ -31,7 +32,7 @@ def stem(word: str) -> str:
     return w[:-1] + "i" if len(w) > 2 and w[-1] == "y" and w[-2] not in "aeiou" else w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stems(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else [stem(t) for t in ts])
 

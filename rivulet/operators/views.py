@@ -229,7 +229,8 @@ def trending_overview(stored: DataFrame, k: int | None = 20) -> DataFrame:
     known = F.coalesce("has_prev", F.lit(False))
     merged = rows.groupBy("token").agg(
         F.sum("count").alias("count"),
-        F.round(F.sum(F.coalesce("score", F.col("count").cast("double"))), 2).alias("score"),
+        # as decimals, so that the sum is the same in any order
+        F.round(F.sum(F.coalesce("score", F.col("count")).cast("decimal(18,3)")), 2).cast("double").alias("score"),
         F.array_sort(F.collect_set("keyword")).alias("keywords"),
         F.max(known).alias("known"),
         F.coalesce(F.sum(F.when(known, F.coalesce("before", F.lit(0)))), F.lit(0)).alias("before"),

@@ -1,6 +1,6 @@
 """Named queries and, where SQL can state them, the SQL that must give the same rows."""
 
-from rivulet.plans import general, pipeline
+from rivulet.plans import general, models, pipeline, serving
 
-CORE_QUERIES = {**pipeline.QUERIES, **general.QUERIES}
-CORE_SQL = {**pipeline.SQL, **general.SQL}
+CORE_QUERIES = {**pipeline.QUERIES, **serving.QUERIES, **models.QUERIES, **general.QUERIES}
+CORE_SQL = {**pipeline.SQL, **serving.SQL, **models.SQL, **general.SQL}
