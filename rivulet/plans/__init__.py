@@ -1,6 +1,7 @@
 """Named queries and, where SQL can state them, the SQL that must give the same rows."""
 
-from rivulet.plans import general, models, pipeline, serving
+from rivulet.plans import general, models, pipeline, serving, streams
 
-CORE_QUERIES = {**pipeline.QUERIES, **serving.QUERIES, **models.QUERIES, **general.QUERIES}
-CORE_SQL = {**pipeline.SQL, **serving.SQL, **models.SQL, **general.SQL}
+_ALL = (pipeline, serving, models, streams, general)
+CORE_QUERIES = {name: f for m in _ALL for name, f in m.QUERIES.items()}
+CORE_SQL = {name: s for m in _ALL for name, s in m.SQL.items()}
