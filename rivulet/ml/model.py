@@ -84,7 +84,7 @@ def fit(train: DataFrame, features: str = "tfidf", max_iter: int = 100, **how) -
     if features not in ("tfidf", "word2vec"):
         raise ValueError(f"unknown features: {features}")
     stages = tfidf_stages(**how) if features == "tfidf" else word2vec_stages(**how)
-    indexer = StringIndexer(inputCol="label", outputCol="index", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
+    indexer = StringIndexer(inputCol="label", outputCol="index", stringOrderType="alphabetAsc", handleInvalid="error").fit(train)
     lr = LogisticRegression(featuresCol="features", labelCol="index", weightCol="weight", maxIter=max_iter, regParam=1 / total, standardization=False, family="multinomial" if len(sizes) > 2 else "auto")
     weighted = indexer.transform(balanced(train))
     features_model = fit_features(weighted, stages)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -63,8 +64,6 @@ class Registry:
         self.last = {k: list(v) for k, v in words.items()}
 
     def add(self, keyword: str) -> list[str]:
-        import re
-
         k = keyword.strip().lower()
         if not re.match(KEYWORD, k):
             raise ValueError("a keyword has 1 to 40 letters, digits, spaces or . + # -")
@@ -79,8 +78,6 @@ class Registry:
 
     def set_subkeywords(self, keyword: str, words: Sequence[str]) -> list[str]:
         """Replace the sub-keywords; an empty list clears them."""
-        import re
-
         listed = list(dict.fromkeys(w.strip().lower() for w in words))
         if any(not re.match(KEYWORD, w) for w in listed):
             raise ValueError("a sub-keyword has 1 to 40 letters, digits, spaces or . + # -")
@@ -92,16 +89,17 @@ class Registry:
 def matched(text: Column, keywords: Sequence[str]) -> Column:
     """The tracked keywords that occur as whole words in a text, in any case, sorted.
 
-    One pattern of all keywords sorts out the texts without any; only the others are searched for each keyword.
+    The text is cut into words once, and keywords of one word are looked up among them. Only the others (of several
+    words, or with signs) are searched by pattern, in texts that contain their letters.
     """
     words = normalise_keywords(keywords)
-    none = F.array().cast("array<string>")
-    if not words:
-        return none
-    patterns = [X.whole_word(w) for w in words]
-    any_of = "(?iu)" + "|".join(f"(?:{p.removeprefix('(?iu)')})" for p in patterns)
-    hits = F.array(*[F.when(text.rlike(p), F.lit(w)) for p, w in zip(patterns, words, strict=True)])
-    return F.when(text.rlike(any_of), F.array_compact(hits)).otherwise(none)
+    simple = [w for w in words if re.fullmatch(r"\w+", w)]
+    low = F.lower(text)
+    found = F.array().cast("array<string>")
+    if simple:
+        found = F.array_intersect(F.split(low, rf"[^{X.W}]+"), F.array(*map(F.lit, simple)))
+    others = [F.when(F.contains(low, F.lit(w)) & text.rlike(X.whole_word(w)), F.lit(w)) for w in words if w not in simple]
+    return F.array_sort(F.concat(found, F.array_compact(F.array(*others)))) if others else F.array_sort(found)
 
 
 def context_sense(text: Column, senses: Mapping[str, Sequence[str]]) -> Column:
