@@ -66,8 +66,12 @@ class DedupPlan:
         if total * _VECTOR_BYTES <= bound:
             return _without(whole, vectors, keep)
         sizes = {r["_file"]: r["n"] for r in per_file.toLocalIterator()}  # as long as the list of files at most
+        # no column is read for this, only the files' footers; the paths are those that the keys were made of
+        paths = sorted(r[0] for r in whole.select(F.col("_metadata.file_path")).distinct().toLocalIterator())
+        if missing := set(sizes) - set(map(_file_key_of, paths)):
+            raise RuntimeError(f"{len(missing)} files with deletions are not found among those read")
         groups, room = [[]], bound // _VECTOR_BYTES
-        for f in whole.inputFiles():
+        for f in paths:
             need = sizes.get(_file_key_of(f), 0)
             if groups[-1] and need > room:
                 groups.append([])

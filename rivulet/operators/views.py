@@ -335,8 +335,8 @@ def live_points(windows: DataFrame, order: Sequence[str], n: int = MAX_POINTS) -
 
 def live_feed(comments: DataFrame, order: Sequence[str], n: int = MAX_FEED) -> DataFrame:
     """The newest n comments, each id once (its first delivery)."""
-    row = F.struct(*order, *[c for c in comments.columns if c not in order and c != "id"])
-    first = comments.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(row).alias("r")).select("id", "r.*")
+    row = F.struct(*[c for c in comments.columns if c != "id"])
+    first = comments.where(F.col("id").isNotNull()).groupBy("id").agg(F.min_by(row, F.struct(*order)).alias("r")).select("id", "r.*")
     return first.orderBy(*[F.desc_nulls_last(c) for c in order]).limit(n)
 
 
