@@ -30,7 +30,7 @@ CONTEXT = 0.5
 _NOISE = re.compile(
     r"\[[^\]\n]*\]\([^)\s]*\)|https?://\S+|www\.\S+|\(see /r/\w+\)|/?\b[ur]/[\w-]+|\[ref \w+\]|&\w+;|&#\d+;|#\w+|```.*?```", re.I | re.S
 )
-_END = re.compile(r"(?<=[.!?…])[\"')\]»”]*\s+|\n+|(?<=[。！？])|[\U0001F000-\U0001FAFF☀-➿️‍]+")
+_END = re.compile(r"(?i:\b(?:lol|lmao|ha(?:ha)+|smh)\b)[\s.!]*|(?<=[.!?…])[\"')\]»”]*\s+|\n+|(?<=[。！？])|[\U0001F000-\U0001FAFF☀-➿️‍]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _DIGITS = str.maketrans("123456789", "000000000")
 #: Cyrillic letters that look like Latin ones (fixed values), folded in words that mix the two scripts.
@@ -39,7 +39,7 @@ _MIXED = re.compile(r"\b(?=\w*[a-zA-Z])(?=\w*[а-яіА-ЯІ])\w+")
 
 
 def sentences(text: str) -> list[str]:
-    """The sentences of a text without links, mentions, tags and code, each with two words at least."""
+    """The sentences of a text without links, mentions, tags and code, each with two words at least. Laughter ends one too."""
     out = []
     for s in _END.split(_NOISE.sub(" ", text)):
         if s and len(_WORD.findall(s)) >= 2:
