@@ -80,7 +80,7 @@ class Network:
         e = self.embed[x]
         return np.concatenate([e[:, k : x.shape[1] - w + 1 + k] for k in range(w)], axis=2)
 
-    def probabilities(self, rows: list[bytes], batch: int = 512) -> np.ndarray:
+    def probabilities(self, rows: list[bytes], batch: int = 64) -> np.ndarray:
         """Windows x languages. Windows of like length are taken together, so that short ones cost less."""
         got = np.zeros((len(rows), len(self.languages)), np.float32)
         order = np.argsort([len(r) for r in rows], kind="stable")
