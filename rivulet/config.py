@@ -27,7 +27,7 @@ class Settings:
     trending_min_terms: int = 30
     trending_min_count: int = 2
     trending_k: int = 20
-    dedup_s: int = 3600
+    trending_stopwords: str | None = None
 
     def __post_init__(self):
         for name in ("window_s", "analytics_window_s", "late_window_s"):
@@ -49,6 +49,9 @@ class Settings:
             subkeywords=parse_subkeywords(e.get("SUBKEYWORDS", "")),
             remove_stopwords=flag("REMOVE_STOPWORDS"),
             stem=flag("STEM"),
+            trending_min_terms=int(e.get("TRENDING_MIN_TOKENS", 30)),
+            trending_min_count=int(e.get("TRENDING_MIN_COUNT", 2)),
+            trending_stopwords=e.get("TRENDING_STOPWORDS_FILE") or None,
         )
 
 

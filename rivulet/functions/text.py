@@ -7,7 +7,7 @@ underscore in any script, white space includes the Unicode separators.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +38,11 @@ could should will can its also than then when
 """.split()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end, newlines included."""
     return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")

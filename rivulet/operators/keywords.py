@@ -116,6 +116,10 @@ def context_sense(text: Column, senses: Mapping[str, Sequence[str]]) -> Column:
     return pick
 
 
+def _sense_in(senses: Mapping[str, Sequence[str]]):
+    return lambda text: context_sense(text, senses)
+
+
 def embedding_sense(
     tokens: list[str] | None, subs: Sequence[str], vectors: Mapping[str, list[float]], least: float = 0.20, margin: float = 0.05
 ) -> str:
@@ -169,7 +173,7 @@ def tag(
     """
     senses = SENSES if senses is None else senses
     text = F.coalesce(F.when(F.col("cleaned_body") != "", F.col("cleaned_body")), F.array_join("tokens", " "), F.lit(""))
-    df = df.withColumn("matched_keywords", matched(text, list(words)))
+    df = df.withColumn("matched_keywords", X.let(text, lambda t: matched(t, list(words))))
     by_vector = {k: s for k, s in words.items() if s and vectors}
     near = embedding_senses(df.sparkSession, F.col("tokens"), by_vector, vectors) if by_vector else None
     entries = []
@@ -177,7 +181,7 @@ def tag(
         if near is not None and k in by_vector:
             sense = near[k]
         elif k in senses:
-            sense = context_sense(text, senses[k])
+            sense = X.let(text, _sense_in(senses[k]))
         elif words[k]:
             sense = F.lit(AMBIGUOUS)
         else:

@@ -21,11 +21,12 @@ en por con para una no se lo il di che e per un sono non o os as da do em um uma
 
 def is_english(text: Column) -> Column:
     """Blank texts and texts of fewer than 20 characters pass; others if they are mostly ASCII letters and have no more foreign than English frequent words."""
-    t = X.strip(F.coalesce(text, F.lit("")))
-    words = F.split(F.lower(t), rf"[^{X.W}]+")
-    english = F.size(F.filter(words, lambda w: w.isin(*ENGLISH)))
-    foreign = F.size(F.filter(words, lambda w: w.isin(*FOREIGN)))
-    latin = F.length(F.regexp_replace(t, r"[^A-Za-z]", ""))
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-    mostly_latin = latin * 10 >= letters * 9
-    return (F.length(t) < SHORTEST) | (mostly_latin & (english >= foreign))
+
+    def gate(t: Column) -> Column:
+        letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+        mostly_latin = F.length(F.regexp_replace(t, r"[^A-Za-z]", "")) * 10 >= letters * 9
+        count = lambda words, known: F.size(F.filter(words, lambda w: w.isin(*known)))
+        words = F.split(F.lower(t), rf"[^{X.W}]+")
+        return (F.length(t) < SHORTEST) | (mostly_latin & X.let(words, lambda w: count(w, ENGLISH) >= count(w, FOREIGN)))
+
+    return X.let(X.strip(F.coalesce(text, F.lit(""))), gate)

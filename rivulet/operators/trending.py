@@ -12,7 +12,7 @@ from rivulet.functions import text as X
 from rivulet.functions.sketches import CMS_DEPTH, CMS_WIDTH
 from rivulet.operators.windows import bucket
 
-#: The default stop words; a longer list for a language or a community is given as a parameter, from a file or a table.
+#: The default stop words (fixed values); a longer list, for a language or a community, is a parameter: see load_stopwords.
 STOPWORDS = """
 the and but for nor yet with about against between into through during before after above below from down out off over
 under again further once because until while than then you your yours yourself him his himself she her hers herself its
@@ -23,6 +23,14 @@ there when where why how now even still really much many well way like one somet
 """.split()
 
 
+def load_stopwords(path: str | None) -> list[str]:
+    """Stop words from a text file, one on each line; the default ones without a path."""
+    if not path:
+        return STOPWORDS
+    with open(path, encoding="utf-8") as f:
+        return sorted({w.strip().lower() for w in f if w.strip()})
+
+
 def terms(tokens: Column, keyword: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
     """The distinct terms of one comment for one keyword: countable words, and pairs of neighbouring ones.
 
@@ -30,13 +38,17 @@ def terms(tokens: Column, keyword: Column, stopwords: Sequence[str] = STOPWORDS)
     it is; a phrase that is the keyword itself, or the keyword twice, is none.
     """
     kw = F.lower(keyword)
+
+    def found(kept: Column) -> Column:
+        singles = F.filter(kept, lambda t: t.isNotNull() & (t != kw))
+        after = F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0)))
+        twice = lambda a, b: (a == kw) & (b == kw)
+        pairs = F.zip_with(kept, after, lambda a, b: F.when(a.isNotNull() & b.isNotNull() & ~twice(a, b), F.concat_ws(" ", a, b)))
+        phrases = F.filter(pairs, lambda p: p.isNotNull() & (p != kw))
+        return F.array_distinct(F.concat(singles, phrases))
+
     low = F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: F.lower(t))
-    kept = F.transform(low, lambda t: F.when(X.countable(t, stopwords) | (t == kw), t))
-    singles = F.filter(kept, lambda t: t.isNotNull() & (t != kw))
-    after = F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0)))
-    pairs = F.zip_with(kept, after, lambda a, b: F.when(a.isNotNull() & b.isNotNull() & ~((a == kw) & (b == kw)), F.concat_ws(" ", a, b)))
-    phrases = F.filter(pairs, lambda p: p.isNotNull() & (p != kw))
-    return F.array_distinct(F.concat(singles, phrases))
+    return X.let(F.transform(low, lambda t: F.when(X.countable(t, stopwords) | (t == kw), t)), found)
 
 
 def first_of_body(df: DataFrame, size: int) -> DataFrame:

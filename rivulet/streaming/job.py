@@ -152,14 +152,15 @@ class Job:
         """The three window aggregates and the late counter; windows are written when they close."""
         s, root = self.settings, self.root
         df = with_watermark(cleaned.where(F.col("created_utc").isNotNull()), s)
+        stop = trending.load_stopwords(s.trending_stopwords)
         point = lambda name: f"{root}/_checkpoints/{name}"
         put = lambda name: lambda out, n: sinks.put_batch(out, f"{root}/{name}", n)
         jobs = [
             sentiment(df, s.window_s).writeStream.outputMode("append").foreachBatch(put("sentiment")).option("checkpointLocation", point("sentiment")),
             reach(df, s.analytics_window_s).writeStream.outputMode("append").foreachBatch(put("reach")).option("checkpointLocation", point("reach")),
-            term_counts(df, s.analytics_window_s).writeStream.outputMode("append")
+            term_counts(df, s.analytics_window_s, stop).writeStream.outputMode("append")
             .foreachBatch(publish_trending(s.analytics_window_s, s, put("trending"))).option("checkpointLocation", point("trending")),
-            cleaned.writeStream.foreachBatch(LateCounter(self.spark, f"{root}/lateness", s.window_s, s.watermark_s)).option("checkpointLocation", point("late")),
+            cleaned.writeStream.foreachBatch(LateCounter(self.spark, f"{root}/lateness", s.window_s, s.watermark_s, stop)).option("checkpointLocation", point("late")),
         ]
         return [j.trigger(**trigger).start() for j in jobs]
 
