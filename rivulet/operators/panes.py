@@ -32,7 +32,8 @@ def judge(
     timestamp. A row is on time if it arrived by the end of its pane, late until the cut-off, and past it after that;
     arriving exactly at the cut-off still counts. Rows without arrival count as on time.
     """
-    end = event_s if ends else F.floor(event_s / pane_s) * pane_s + pane_s
+    event_s = event_s.cast("bigint")
+    end = event_s if ends else event_s - F.pmod(event_s, F.lit(pane_s).cast("bigint")) + pane_s
     late = F.unix_micros(arrival) - end * 1_000_000
     return df.withColumns(
         {

@@ -221,19 +221,20 @@ def trending_overview(stored: DataFrame, k: int | None = 20) -> DataFrame:
     count and score are summed over keywords (the count stands in for a missing score). Momentum compares only keywords
     that have an earlier window: flat without any, new if the term was in none, else up or down beyond a tenth.
     """
-    items = stored.where(F.col("rank") <= 2).select("keyword", "rank", F.explode("items").alias("i"))
-    has_prev = stored.where(F.col("rank") == 2).select("keyword").withColumn("has_prev", F.lit(True))
-    cur = items.where(F.col("rank") == 1).select("keyword", "i.*")
-    prev = items.where(F.col("rank") == 2).groupBy("keyword", F.col("i.token").alias("token")).agg(F.max("i.count").alias("before"))
-    rows = cur.join(has_prev, "keyword", "left").join(prev, ["keyword", "token"], "left")
-    known = F.coalesce("has_prev", F.lit(False))
+    at = lambda n: F.first(F.when(F.col("rank") == n, F.col("items")), ignorenulls=True)
+    two = stored.where(F.col("rank") <= 2).groupBy("keyword").agg(at(1).alias("cur"), at(2).alias("prev"), F.max("rank").alias("n"))
+    same = F.filter("prev", lambda x: x["token"] == F.col("i.token"))
+    rows = two.select("keyword", (F.col("n") == 2).alias("known"), "prev", F.explode("cur").alias("i")).select(
+        "keyword", "known", "i.*", F.coalesce(F.array_max(F.transform(same, lambda x: x["count"])), F.lit(0)).alias("before")
+    )
+    known = F.col("known")
     merged = rows.groupBy("token").agg(
         F.sum("count").alias("count"),
         # as decimals, so that the sum is the same in any order
         F.round(F.sum(F.coalesce("score", F.col("count")).cast("decimal(18,3)")), 2).cast("double").alias("score"),
         F.array_sort(F.collect_set("keyword")).alias("keywords"),
         F.max(known).alias("known"),
-        F.coalesce(F.sum(F.when(known, F.coalesce("before", F.lit(0)))), F.lit(0)).alias("before"),
+        F.coalesce(F.sum(F.when(known, F.col("before"))), F.lit(0)).alias("before"),
         F.coalesce(F.sum(F.when(known, F.col("count"))), F.lit(0)).alias("now"),
     )
     change = (F.col("now") - F.col("before")) / F.col("before")

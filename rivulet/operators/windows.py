@@ -13,7 +13,8 @@ NO_AUTHORS = ("", "[deleted]")
 def bucket(seconds: Column, size: int) -> Column:
     if size <= 0:
         raise ValueError("a window must be longer than 0 seconds")
-    return (F.floor(seconds / size) * size).cast("bigint")
+    seconds = seconds.cast("bigint")
+    return seconds - F.pmod(seconds, F.lit(size).cast("bigint"))
 
 
 def event_time(df: DataFrame, seconds: str = "created_utc", fallback: Column | None = None) -> DataFrame:

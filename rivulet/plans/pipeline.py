@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.functions import sketches
 from rivulet.functions import text as X
-from rivulet.operators import keywords, late, parse, trending, windows
+from rivulet.operators import countmin, keywords, late, parse, trending, windows
 from rivulet.operators.language import ENGLISH, FOREIGN, SHORTEST, is_english
 from rivulet.schemas import RAW
 from rivulet.sources import replay
@@ -115,6 +116,27 @@ def trending_windows(spark: SparkSession, d: str) -> DataFrame:
     return out.select("keyword", "window_start", "window_end", F.array_join(items, "|").alias("items"), F.col("sketch.stream_total").alias("stream_total"))
 
 
+def sketch_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Per keyword, how many terms a Count-Min sketch counts, how many too low, and whether 95 % keep the bound of e / width."""
+    rows = trending.term_rows(_cleaned(spark, d)).select("keyword", "term")
+    exact = rows.groupBy("keyword", "term").agg(F.count(F.lit(1)).alias("n"))
+    got = countmin.estimate(countmin.build(rows, ["keyword"], "term"), exact, ["keyword"], "term")
+    total = rows.groupBy("keyword").agg(F.count(F.lit(1)).alias("total"))
+    over = F.col("estimate") - F.col("n") <= F.col("total") * 2.718281828 / countmin.CMS_WIDTH
+    return exact.join(got, ["keyword", "term"]).join(total, "keyword").groupBy("keyword").agg(
+        F.count(F.lit(1)).alias("n_terms"),
+        F.count(F.when(F.col("estimate") < F.col("n"), 1)).alias("n_low"),
+        (F.avg(F.when(over, 1.0).otherwise(0.0)) >= 0.95).alias("within_bound"),
+    )
+
+
+def top_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most frequent keywords, by the built-in sketch of frequent items."""
+    rows = _cleaned(spark, d).select(F.explode("matched_keywords").alias("keyword"))
+    top = rows.agg(F.explode(sketches.top_values(F.col("keyword"), 10)).alias("t"))
+    return top.select(F.col("t.item").alias("keyword"), F.col("t.count").alias("n"))
+
+
 def late_drops(spark: SparkSession, d: str) -> DataFrame:
     df = _cleaned(spark, d).where(F.col("created_utc") > 0)
     return late.late_drops(df, HOUR, 5, 600)
@@ -148,7 +170,7 @@ def replay_slice(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sentiment_windows, sentiment_minutes, reach_windows, reach_merged, trending_terms, trending_windows, late_drops,
+        sentiment_windows, sentiment_minutes, reach_windows, reach_merged, trending_terms, trending_windows, sketch_bounds, top_keywords, late_drops,
         parse_valid, parse_errors, parse_rejected, malformed_counts, clean_bodies, token_lists, tokens_without_stopwords,
         english_gate, cleaned_comments, tag_comments, keyword_fanout, language_breakdown, label_counts, replay_range,
         replay_groups, replay_slice,
@@ -248,6 +270,10 @@ SQL = {
     SELECT keyword, ws AS window_start, ws + 86400 AS window_end, CAST(any_value(total) AS BIGINT) AS stream_total,
     coalesce(string_agg(term || ':' || n, '|' ORDER BY rank) FILTER (rank <= 20 AND n >= 2), '') AS items
     FROM r WHERE total >= 30 GROUP BY keyword, ws""",
+    "sketch_bounds": f"""WITH {_terms_sql("reddit_comments_cleaned")}, c AS (SELECT DISTINCT keyword, term FROM s)
+    SELECT keyword, count(*) AS n_terms, 0 AS n_low, true AS within_bound FROM c GROUP BY keyword""",
+    "top_keywords": """SELECT k AS keyword, count(*) AS n FROM (SELECT unnest(matched_keywords) AS k FROM reddit_comments_cleaned)
+    GROUP BY k ORDER BY n DESC, k LIMIT 10""",
     "late_drops": f"""WITH {_LATE}, {_terms_sql("l")}, e AS (
       SELECT 'sentiment' AS pipeline, period FROM (SELECT period, unnest(matched_keywords) FROM l WHERE sentiment_label <> '')
       UNION ALL SELECT 'reach', period FROM (SELECT period, unnest(matched_keywords) FROM l WHERE author NOT IN ('', '[deleted]'))
