@@ -98,8 +98,8 @@ def _batch(values: pa.Array, weights: pa.Array | None) -> tuple[list[str], np.nd
     return g.column("v").to_pylist(), g.column("w_sum").to_numpy().astype(np.int64)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Batches are put together up to some rows, so that repeated values are counted before they are hashed."""
+def _batches(batches: Iterator[pa.RecordBatch], most: int = 1_500_000) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Batches are put together up to some values, so that repeated ones are counted before they are hashed."""
 
     def flush(kept: list[pa.RecordBatch]):
         v = pa.concat_arrays([b.column(0) for b in kept]).flatten()
@@ -109,8 +109,8 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[
     kept, n = [], 0
     for b in batches:
         kept.append(b)
-        n += b.num_rows
-        if n >= rows:
+        n += len(b.column(0).flatten()) + 1
+        if n >= most:
             yield flush(kept)
             kept, n = [], 0
     if n:

@@ -280,7 +280,7 @@ _KEPT: dict[int, Network] = {}
 
 
 def sample(df: DataFrame, max_rows: int) -> list[tuple[str, str]]:
-    """At most max_rows rows of each language of df (lang, text), those with the smallest hashes.
+    """At most max_rows distinct texts of each language of df (lang, text), those with the smallest hashes.
 
     One pass counts the rows of each language, a second one keeps those below a hash threshold for it. Nothing is sorted,
     and what comes to the driver has a fixed size whatever the size of df.
@@ -291,7 +291,8 @@ def sample(df: DataFrame, max_rows: int) -> list[tuple[str, str]]:
         return []
     share = F.create_map(*[x for a, n in sorted(sizes.items()) for x in (F.lit(a), F.lit(min(1.0, 1.2 * max_rows / n)))])
     h = F.xxhash64("text").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    rows = known.withColumn("_h", h).where(F.col("_h") <= F.element_at(share, F.col("lang"))).collect()
+    # one text may stand on many rows; distinct texts below the threshold are as few as it says
+    rows = known.withColumn("_h", h).where(F.col("_h") <= F.element_at(share, F.col("lang"))).distinct().collect()
     out: dict[str, list[tuple[float, str]]] = {}
     for r in rows:
         out.setdefault(r["lang"], []).append((r["_h"], r["text"]))

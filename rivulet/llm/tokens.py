@@ -145,27 +145,26 @@ def encode(
         )
     )
 
-    piece_type = T.StructType(key.fields + [T.StructField("n", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-    piece_arrow = pa.schema([("_id", id_arrow), ("_hash", pa.int64()), ("k", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
+    piece_type = T.StructType(key.fields + [T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    piece_arrow = pa.schema([("_id", id_arrow), ("_hash", pa.int64()), ("k", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, name)[0]
         for b in batches:
             rows = []
-            for i, h, k, n, t, start, stop in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i, h, k, t, start, stop in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 piece = t[start - k * chunk : None if stop is None else stop - k * chunk]
-                rows.append((i, h, k, n, enc.encode_ordinary(piece)))
-            yield _table(piece_arrow, *(list(zip(*rows, strict=True)) or [[]] * 5))
+                rows.append((i, h, k, enc.encode_ordinary(piece)))
+            yield _table(piece_arrow, *(list(zip(*rows, strict=True)) or [[]] * 4))
 
     joined = (
         chunks.join(found.where(~F.col("unjoined")), ["_id", "_hash", "k"])
-        .select("_id", "_hash", "k", "n", "part", "start", "stop")
+        .select("_id", "_hash", "k", "part", "start", "stop")
         .mapInArrow(pieces, piece_type)
+        .groupBy("_id", "_hash", "k")  # equal rows bring equal pieces, which are counted and kept once
+        .agg(F.first("ids").alias("ids"), F.count(F.lit(1)).cast("int").alias("copies"))
         .groupBy("_id", "_hash")
-        .agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p"), F.max("n").alias("n"))
-        # equal rows bring equal pieces: each k stands there once for every copy
-        .withColumn("copies", (F.size("p") / F.col("n")).cast("int"))
-        .withColumn("p", F.filter("p", lambda x, i: i % F.col("copies") == 0))
+        .agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p"), F.max("copies").alias("copies"))
         .select("_id", F.flatten(F.col("p.ids")).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_c"))
         .drop("_c")
     )
