@@ -21,6 +21,20 @@ SEPARATORS = (
     re.compile(r"\s+"),  # words
 )
 _SENTENCE, _WORD = 2, 3
+#: White space beyond ASCII (fixed values).
+_WIDE = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+
+
+def _seams(text: str) -> np.ndarray:
+    """Places between a visible character and a space or line end.
+
+    There the pattern always begins a new pre-token, so what stands on either side is encoded alike alone and within the text.
+    """
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    visible = c[:-1] > 32
+    if not text.isascii():
+        visible &= ~np.isin(c[:-1], _WIDE)
+    return np.flatnonzero(visible & ((c[1:] == 32) | (c[1:] == 10))) + 1
 
 
 class _Measured:
@@ -38,11 +52,24 @@ class _Measured:
         self.up = np.searchsorted(starts[:-1], at, "left")
         self.down = np.minimum(np.searchsorted(starts, at, "right") - 1, self.n)
         self._cuts: dict[int, np.ndarray] = {}
+        self._seams: np.ndarray | None = None
 
     def count(self, lo: int, hi: int) -> int:
         """Tokens of the whole text that touch [lo, hi)."""
         return int(self.up[hi] - self.down[lo])
 
+    def exact(self, lo: int, hi: int, enc) -> int:
+        """The tokens of [lo, hi) encoded by itself: those between its first and last seam, and its ends encoded anew."""
+        if self._seams is None:
+            self._seams = _seams(self.text)
+        c = self._seams
+        i, j = np.searchsorted(c, lo, "left"), np.searchsorted(c, hi, "right") - 1
+        if i >= j:
+            return len(enc.encode_ordinary(self.text[lo:hi]))
+        a, b = int(c[i]), int(c[j])
+        ends = len(enc.encode_ordinary(self.text[lo:a])) + len(enc.encode_ordinary(self.text[b:hi]))
+        return ends + int(self.up[b] - self.up[a])
+
     def cuts(self, level: int) -> np.ndarray:
         if level not in self._cuts:
             self._cuts[level] = np.fromiter((m.end() for m in SEPARATORS[level].finditer(self.text)), np.int64)
@@ -86,7 +113,7 @@ def split_text(text: str, enc, lengths: np.ndarray, limit: int, overlap: int) ->
     """(start, end, tokens) of each piece of a text of more than limit tokens; None if it has no more than that.
 
     The text is cut by the coarsest separator, and parts that are still too long by the next; neighbouring parts are then
-    packed up to the limit. Every piece is encoded by itself to make sure of the limit. The pieces cover the whole text.
+    packed up to the limit. The tokens of every piece are counted as encoded by itself. The pieces cover the whole text.
     """
     ids = enc.encode_ordinary(text)
     if len(ids) <= limit:
@@ -105,7 +132,7 @@ def split_text(text: str, enc, lengths: np.ndarray, limit: int, overlap: int) ->
             taken.append(units.pop())
         while True:
             end = taken[-1][1]
-            n = len(enc.encode_ordinary(text[start:end]))
+            n = m.exact(start, end, enc)
             if n <= limit:
                 break
             # cut off by itself, the edge of the piece can take a few tokens more than within the text
