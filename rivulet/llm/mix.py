@@ -86,10 +86,38 @@ def budgets(sized: DataFrame, targets: DataFrame, total: int | None = None) -> l
     extra, threshold = dict.fromkeys(live, 0), dict.fromkeys(live, 0)
     skipped: dict[str, list[int]] = {s: [] for s in live}
     open_ = {s for s in live if left[s] > TOLERANCE * wanted[s]}
+    near, top = sized, {s: left[s] for s in open_}
+    if open_:
+        # one histogram of everything tells the bucket of each source that holds its first crossing; it and the one behind
+        # it, about a 500th of the rows, are kept apart, and all further searches read these
+        shift = BITS * (LEVELS - 1)
+        rows = sized.where(F.col("source").isin(*open_)).groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("n_tokens").alias("n")).collect()
+        edge: dict[str, int] = {}
+        for r in sorted(rows, key=lambda r: (r["source"], r["bucket"])):
+            s = r["source"]
+            if s in edge:
+                continue
+            if extra[s] + r["n"] > top[s]:
+                edge[s] = r["bucket"]
+            else:
+                extra[s] += r["n"]
+        for s in list(open_):
+            left[s] -= extra[s]
+            if s in edge:
+                threshold[s] = edge[s] << shift
+            else:  # what is left takes all records
+                threshold[s] = 1 << (BITS * LEVELS)
+                open_.discard(s)
+        if open_:
+            first = F.element_at(F.create_map(*[x for s in edge for x in (F.lit(s), F.lit(edge[s]).cast("bigint"))]), F.col("source"))
+            near = cut(sized.where(F.col("source").isin(*edge) & (F.shiftright("h", shift) - first).between(0, 1)))
     for turn in range(ROUNDS):
         if not open_:
             break
-        found = _cross(sized, {s: left[s] for s in open_}, {s: threshold[s] for s in open_})
+        found = _cross(near, {s: left[s] for s in open_}, {s: threshold[s] for s in open_})
+        beyond = open_ - set(found)
+        if beyond:
+            found |= _cross(sized, {s: left[s] for s in beyond}, {s: threshold[s] for s in beyond})
         for s in sorted(open_):
             if s not in found:  # what is left takes all further records
                 threshold[s] = 1 << (BITS * LEVELS)
