@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from rivulet.config import Settings
 from rivulet.functions import sketches
 from rivulet.functions import text as X
-from rivulet.ml.model import Store, score
+from rivulet.ml import lexicon
+from rivulet.ml.model import Retrainer, Store, score
 from rivulet.operators import keywords, parse, trending, windows
+from rivulet.schemas import LIVE_CORPUS
 from rivulet.streaming import sinks
 
 LATE_PIPELINES = ("sentiment", "trending", "reach")
@@ -171,6 +173,34 @@ class Job:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@dataclass
+class Labelling:
+    """For foreachBatch over cleaned comments: lexicon labels, appended to a corpus, and a new model every so many.
+
+    Neutral comments and comments without tokens go. A failed retraining is reported and the stream goes on; a repeated
+    micro-batch replaces its own part of the corpus.
+    """
+
+    spark: SparkSession
+    folder: str
+    retrainer: Retrainer
+    report: Callable[[str], None] = print
+
+    def __call__(self, df: DataFrame, batch_id: int) -> None:
+        labelled = lexicon.label_corpus(df).select("tokens", "label").where(F.size("tokens") > 0)
+        sinks.put_batch(labelled, f"{self.folder}/corpus", batch_id)
+        n = self.spark.read.schema(LIVE_CORPUS).parquet(f"{self.folder}/corpus/batch={batch_id}").count()
+        if self.retrainer.add(n):
+            try:
+                version = self.retrainer.cycle(self.corpus())
+                self.report(f"model {version} is ready")
+            except Exception as e:  # noqa: BLE001 - the stream goes on with the model it has
+                self.report(f"retraining failed: {e}")
+
+    def corpus(self) -> DataFrame:
+        return self.spark.read.schema(LIVE_CORPUS).parquet(f"{self.folder}/corpus").select("tokens", "label")
+
+
 def replay_warning(skip: int, high_water: int) -> str | None:
     """A replay from before what was already sent arrives behind the watermark."""
     return f"records before {high_water} were sent already; reset the pipeline to replay them" if skip < high_water else None

@@ -66,6 +66,23 @@ def test_late_counter(spark, tmp_path):
     assert got == {"sentiment": 2, "reach": 2, "trending": 2}
 
 
+def test_labelling_retrains(spark, tmp_path):
+    from rivulet.ml.model import Retrainer, Store
+
+    said = []
+    store = Store(spark, str(tmp_path / "models"))
+    label = job.Labelling(spark, str(tmp_path), Retrainer(store, every=30), said.append)
+    rows = [(f"this is {w} number {i}", None, ["this", w, str(i % 5)]) for i in range(20) for w in ("great", "awful", "plain")]
+    df = spark.createDataFrame([*rows, ("great", None, [])], "original_body string, cleaned_body string, tokens array<string>")
+    label(df.limit(15), 0)
+    assert store.latest() is None and label.corpus().count() == 10
+    label(df, 1)
+    assert store.latest() and said == [f"model {store.latest()} is ready"] and label.corpus().count() == 50
+    bad = job.Labelling(spark, str(tmp_path / "bad"), Retrainer(store, every=1), said.append)
+    bad(df.where("original_body LIKE '%great%'"), 0)
+    assert said[-1].startswith("retraining failed")
+
+
 def test_pane_stream_equals_batch(spark, tmp_path):
     t0 = datetime(2019, 4, 1, tzinfo=timezone.utc)
     rows = [(f"{i % 3}", BASE + (i * 977) % 40000, t0 + timedelta(seconds=(i * 977) % 40000 + (i % 7) * 2500), i) for i in range(300)]
