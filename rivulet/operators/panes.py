@@ -2,7 +2,8 @@
 
 Rows are aggregated into panes that do not overlap: a pane lies between two neighbouring window boundaries, so every
 window (tumbling or sliding) is a run of whole panes. A late row changes one pane, and only the windows that cover it are
-recomposed. A row that arrives later than the end of its pane plus the cut-off changes nothing and is counted apart.
+recomposed. A row that arrives later than the end of its pane plus the cut-off changes nothing and is counted apart;
+window_panes and recompose_windows take the cut-off from the end of each window instead.
 """
 
 from __future__ import annotations
@@ -96,6 +97,59 @@ def recompose(panes_df: DataFrame, keys: Sequence[str], sums: Sequence[str], siz
     )
 
 
+def window_panes(
+    df: DataFrame, keys: Sequence[str], event_s: Column, arrival: Column, values: dict[str, Column], size: int, slide: int, cutoff_s: int
+) -> DataFrame:
+    """Panes for recompose_windows, which judges rows against each window instead of their pane.
+
+    One row for each key, pane and arrival class: n_rows and the sum of each of values. The class of a row is the first
+    window end by which it arrived (due_from) and the first one whose cut-off it met (kept_from); both lie among the ends
+    of the windows that cover the pane or right behind them, so a pane has few classes. Edges as in judge.
+    """
+    step = pane_size(size, slide)
+    event_s = event_s.cast("bigint")
+    start = (event_s - F.pmod(event_s, F.lit(step).cast("bigint"))).cast("bigint")
+    starts = covering_windows(F.col("pane_start"), F.col("pane_end"), size, slide)
+
+    def first_end(late_s: int) -> Column:
+        at, every = F.unix_micros(arrival) - F.lit((size + late_s) * 1_000_000).cast("bigint"), F.lit(slide * 1_000_000).cast("bigint")
+        end = ((at + F.pmod(-at, every)) / 1_000_000).cast("bigint") + size
+        return F.greatest(F.array_min("_starts") + size, F.least(end, F.array_max("_starts") + size + slide)).cast("bigint")
+
+    return (
+        df.where(event_s.isNotNull())
+        .withColumns({"pane_start": start, "pane_end": start + step})
+        .withColumn("_starts", starts)
+        .withColumns(
+            {
+                "due_from": F.when(arrival.isNull(), F.array_min("_starts") + size).otherwise(first_end(0)),
+                "kept_from": F.when(arrival.isNull(), F.array_min("_starts") + size).otherwise(first_end(cutoff_s)),
+            }
+        )
+        .groupBy(*keys, "pane_start", "pane_end", "due_from", "kept_from")
+        .agg(F.count(F.lit(1)).alias("n_rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in values.items()])
+    )
+
+
+def recompose_windows(panes_df: DataFrame, keys: Sequence[str], values: Sequence[str], size: int, slide: int) -> DataFrame:
+    """Windows from window_panes: n, n_late and values over rows within the cut-off of the window, n_past beyond it."""
+    kept, late = F.col("window_end") >= F.col("kept_from"), F.col("window_end") < F.col("due_from")
+    total = lambda c, of: F.coalesce(F.sum(F.when(c, F.col(of))), F.lit(0))
+    return (
+        panes_df.withColumn(
+            "window_start", F.explode(covering_windows(F.col("pane_start"), F.col("pane_end"), size, slide))
+        )
+        .withColumn("window_end", F.col("window_start") + size)
+        .groupBy(*keys, "window_start", "window_end")
+        .agg(
+            total(kept, "n_rows").alias("n"),
+            total(kept & late, "n_rows").alias("n_late"),
+            total(~kept, "n_rows").alias("n_past"),
+            *[total(kept, v).alias(v) for v in values],
+        )
+    )
+
+
 def revisions(
     judged: DataFrame, keys: Sequence[str], arrival: Column, size: int, slide: int, every_s: int
 ) -> DataFrame:

@@ -122,6 +122,14 @@ def p4_sliding(spark: SparkSession, d: str) -> DataFrame:
     return panes.recompose(panes.panes(judged, ["subreddit"], {}), ["subreddit"], ["n", "n_late", "n_past"], size, slide)
 
 
+def p4_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of p4_sliding with every row judged against each window that it falls into, not against its pane."""
+    size, slide = 6 * HOUR, 2 * HOUR
+    event = F.when(F.col("created_utc") > 0, F.col("created_utc"))
+    p = panes.window_panes(first_comments(spark, d, "subreddit"), ["subreddit"], event, F.col("ingest_ts"), {}, size, slide, CUTOFF_S)
+    return panes.recompose_windows(p, ["subreddit"], [], size, slide)
+
+
 def p4_revisions(spark: SparkSession, d: str) -> DataFrame:
     """Every emission of every clock hour: the first at its end, then one for each ten minutes that corrected it."""
     return panes.revisions(judged_comments(spark, d), [], F.col("ingest_ts"), HOUR, HOUR, 600)
@@ -141,7 +149,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_comments, p2_cleaned, p3_found, p3_subreddits, p3_keywords,
-        p4_found, p4_hours, p4_sliding, p4_revisions, p4_published,
+        p4_found, p4_hours, p4_sliding, p4_windows, p4_revisions, p4_published,
     )
 }
 
@@ -207,6 +215,11 @@ SQL = {
     count(*) FILTER (a <= (p + 14400) * 1000000) AS n,
     count(*) FILTER (a > (p + 7200) * 1000000 AND a <= (p + 14400) * 1000000) AS n_late,
     count(*) FILTER (a > (p + 14400) * 1000000) AS n_past FROM s GROUP BY ALL""",
+    "p4_windows": f"""WITH {_FIRST_COMMENTS}, s AS (SELECT *, created_utc // 7200 * 7200 + unnest([7200, 14400, 21600]) AS e FROM judged)
+    SELECT subreddit, e - 21600 AS window_start, e AS window_end,
+    count(*) FILTER (a IS NULL OR a <= (e + 7200) * 1000000) AS n,
+    count(*) FILTER (a > e * 1000000 AND a <= (e + 7200) * 1000000) AS n_late,
+    count(*) FILTER (a > (e + 7200) * 1000000) AS n_past FROM s GROUP BY ALL""",
     "p4_revisions": f"""WITH {_FIRST_COMMENTS}, e AS (SELECT pane_end AS window_end,
       greatest(pane_end, CAST(ceil(a / 1000000 / 600) * 600 AS BIGINT)) AS emitted_s, count(*) AS c
       FROM judged WHERE NOT ({_PAST}) GROUP BY ALL)

@@ -48,20 +48,30 @@ def stream_reach(spark: SparkSession, d: str) -> DataFrame:
     return _last(spark, out, ["keyword", "window_start", "window_end"])
 
 
-def stream_panes(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of six hours every two, per subreddit, corrected pane by pane as rows arrive; every delivery counts."""
+def _panes(spark: SparkSession, d: str, by_window: bool) -> DataFrame:
     path, root = table_path(d, "reddit_comments"), _folder(spark)
     size, slide = 6 * 3600, 2 * 3600
-    state = PaneStream(spark, root, size, slide, general.CUTOFF_S, ["subreddit"])
+    state = PaneStream(spark, root, size, slide, general.CUTOFF_S, ["subreddit"], by_window=by_window)
     df = table_stream(spark, path, table(spark, d, "reddit_comments").schema, files=4)
     df.writeStream.foreachBatch(state).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return state.current().select("subreddit", "window_start", "window_end", "n", "n_late", "n_past")
 
 
-QUERIES = {f.__name__: f for f in (stream_sentiment, stream_reach, stream_panes)}
+def stream_panes(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of six hours every two, per subreddit, corrected pane by pane as rows arrive; every delivery counts."""
+    return _panes(spark, d, by_window=False)
+
+
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of stream_panes with every row judged against each window that it falls into, not against its pane."""
+    return _panes(spark, d, by_window=True)
+
+
+QUERIES = {f.__name__: f for f in (stream_sentiment, stream_reach, stream_panes, stream_windows)}
 _ALL = "judged AS (SELECT *, epoch_us(ingest_ts) AS a FROM reddit_comments WHERE created_utc > 0)"
 SQL = {
     "stream_sentiment": pipeline.SQL["sentiment_windows"],
     "stream_reach": pipeline.SQL["reach_windows"],
     "stream_panes": general.SQL["p4_sliding"].replace(general._FIRST_COMMENTS, _ALL),
+    "stream_windows": general.SQL["p4_windows"].replace(general._FIRST_COMMENTS, _ALL),
 }

@@ -18,7 +18,8 @@ class PaneStream:
 
     Each micro-batch adds its own partial panes; a pane is the sum of its parts, so nothing is rewritten and a repeated
     micro-batch replaces only its own part. The windows that cover a changed pane are recomposed from all parts of their
-    panes, which are found by the day they lie in. Rows past the cut-off of their pane are counted apart (n_past).
+    panes, which are found by the day they lie in. Rows past the cut-off of their pane are counted apart (n_past), or with
+    by_window those past the cut-off of the window.
     """
 
     spark: SparkSession
@@ -30,16 +31,20 @@ class PaneStream:
     event_s: str = "created_utc"
     arrival: str = "ingest_ts"
     values: dict[str, Column] = field(default_factory=dict)
+    by_window: bool = False
 
     @property
     def sums(self) -> list[str]:
         return ["n", "n_late", "n_past", *self.values]
 
     def __call__(self, df: DataFrame, batch_id: int) -> None:
-        step = panes.pane_size(self.size, self.slide)
         event = F.when(F.col(self.event_s) > 0, F.col(self.event_s))
-        judged = panes.judge(df, event, F.col(self.arrival), step, self.cutoff_s)
-        part = panes.panes(judged, self.keys, self.values).withColumn("day", F.floor(F.col("pane_start") / 86400).cast("int"))
+        if self.by_window:
+            part = panes.window_panes(df, self.keys, event, F.col(self.arrival), self.values, self.size, self.slide, self.cutoff_s)
+        else:
+            judged = panes.judge(df, event, F.col(self.arrival), panes.pane_size(self.size, self.slide), self.cutoff_s)
+            part = panes.panes(judged, self.keys, self.values)
+        part = part.withColumn("day", F.floor(F.col("pane_start") / 86400).cast("int"))
         part.write.mode("overwrite").partitionBy("day").parquet(f"{self.folder}/panes/batch={batch_id}")
         fresh = self._read(f"{self.folder}/panes/batch={batch_id}")
         if fresh is None:
@@ -48,7 +53,10 @@ class PaneStream:
         changed = fresh.select(*self.keys, start.alias("window_start")).distinct()
         days = [r["day"] for r in fresh.select(F.explode(F.sequence(F.col("day") - self.size // 86400 - 1, F.col("day") + self.size // 86400 + 1)).alias("day")).distinct().collect()]
         stored = self.spark.read.parquet(f"{self.folder}/panes").where((F.col("batch") <= batch_id) & F.col("day").isin(*days))
-        whole = panes.recompose(stored, self.keys, self.sums, self.size, self.slide)
+        if self.by_window:
+            whole = panes.recompose_windows(stored, self.keys, list(self.values), self.size, self.slide)
+        else:
+            whole = panes.recompose(stored, self.keys, self.sums, self.size, self.slide)
         a, b = whole.alias("a"), changed.alias("b")
         same = F.col("a.window_start") == F.col("b.window_start")
         for k in self.keys:

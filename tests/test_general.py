@@ -139,6 +139,24 @@ def test_panes_and_revisions(spark, size, slide):
     assert last == {k: v[0] for k, v in want.items() if v[0]}
 
 
+@pytest.mark.parametrize(("size", "slide", "cutoff"), [(3600, 3600, 7200), (7200, 1800, 7200), (5400, 3600, 1000), (21600, 7200, 0)])
+def test_windows_are_judged_by_their_own_end(spark, size, slide, cutoff):
+    start = int(T0.timestamp())
+    edge = [("e", start, T0 + timedelta(seconds=size + cutoff, microseconds=u)) for u in (0, 1)] + [("e", start, None), ("e", None, T0)]
+    rows, want = events() + edge, defaultdict(lambda: [0, 0, 0])
+    for k, e, a in rows:
+        for w in range(e // slide * slide, e - size, -slide) if e is not None else ():
+            late = 0 if a is None else (a - T0) / timedelta(seconds=1) + start - (w + size)
+            want[k, w][0] += late <= cutoff
+            want[k, w][1] += 0 < late <= cutoff
+            want[k, w][2] += late > cutoff
+    df = spark.createDataFrame(rows, "k string, e bigint, a timestamp")
+    p = panes.window_panes(df, ["k"], F.col("e"), F.col("a"), {"v": F.lit(2)}, size, slide, cutoff)
+    got = panes.recompose_windows(p, ["k"], ["v"], size, slide).collect()
+    assert {(r["k"], r["window_start"]): [r["n"], r["n_late"], r["n_past"]] for r in got} == dict(want)
+    assert all(r["v"] == 2 * r["n"] and r["window_end"] == r["window_start"] + size for r in got)
+
+
 def test_pane_size():
     assert panes.pane_size(5400, 3600) == 1800
     with pytest.raises(ValueError):

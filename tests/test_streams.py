@@ -100,6 +100,19 @@ def test_pane_stream_equals_batch(spark, tmp_path):
     assert as_set(state.current()) == as_set(want)
 
 
+def test_pane_stream_by_window_equals_batch(spark, tmp_path):
+    t0 = datetime(2019, 4, 1, tzinfo=timezone.utc)
+    rows = [(f"{i % 3}", BASE + (i * 977) % 40000, t0 + timedelta(seconds=(i * 977) % 40000 + (i % 7) * 2500), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, created_utc bigint, ingest_ts timestamp, i int")
+    size, slide = 7200, 3600
+    state = PaneStream(spark, str(tmp_path), size, slide, 7200, ["k"], by_window=True)
+    for b in (0, 1, 2, 3, 3):
+        state(df.where(F.col("i") % 4 == b), b)
+    want = panes.recompose_windows(panes.window_panes(df, ["k"], F.col("created_utc"), F.col("ingest_ts"), {}, size, slide, 7200), ["k"], [], size, slide)
+    as_set = lambda x: {tuple(r[c] for c in ("k", "window_start", "n", "n_late", "n_past")) for r in x.collect()}
+    assert as_set(state.current()) == as_set(want)
+
+
 def test_replay_and_sources(spark, tmp_path):
     df = spark.createDataFrame([(100, 1), (100, 2), (101, 3), (102, 4), (102, 5), (100, 6)], "t bigint, i bigint").withColumn("p", F.lit(0))
     got = sorted((r["run"], r["t"], r["n"]) for r in replay.runs(df, ["p"], ["i"], "t").collect())
