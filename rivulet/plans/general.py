@@ -36,6 +36,11 @@ def p2_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return dedup.dedup_plan(spark, table_path(d, "reddit_comments_cleaned")).apply(_CLEANED)
 
 
+def p2_cleaned_whole(spark: SparkSession, d: str) -> DataFrame:
+    """p2_cleaned with every column of the table, tokens, matched_keywords and keyword_senses among them."""
+    return dedup.dedup_plan(spark, table_path(d, "reddit_comments_cleaned")).apply()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Keys with at least 5 % of all rows, from rows compressed by (key, value)."""
     out = []
@@ -148,7 +153,7 @@ def p4_published(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_comments, p2_cleaned, p3_found, p3_subreddits, p3_keywords,
+        p2_found, p2_comments, p2_cleaned, p2_cleaned_whole, p3_found, p3_subreddits, p3_keywords,
         p4_found, p4_hours, p4_sliding, p4_windows, p4_revisions, p4_published,
     )
 }

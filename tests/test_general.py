@@ -5,10 +5,12 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta, timezone
 from math import ceil
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from rivulet.operators import dedup, panes, skew
+from rivulet.plans import general
 
 T0 = datetime(2019, 4, 1, tzinfo=timezone.utc)
 SCHEMA = "id string, ingest_ts timestamp, kafka_partition int, kafka_offset bigint, body string, _file string, bits string"
@@ -52,6 +54,19 @@ def test_dedup_ties_and_empty(spark, tmp_path):
     assert plan.apply().count() == 0 and plan.duplicated_ids().count() == 0
 
 
+def test_cleaned_comments_keep_their_nested_columns(spark, sf):
+    path = f"{sf}/reddit_comments_cleaned.parquet"
+    df = general.p2_cleaned_whole(spark, sf)
+    assert df.schema == spark.read.parquet(path).schema
+    cur = duckdb.execute(f"""SELECT * FROM '{path}' QUALIFY id IS NULL OR id IN ('', 'None') OR
+        row_number() OVER (PARTITION BY id ORDER BY ingest_ts NULLS FIRST, kafka_partition, kafka_offset) = 1""")
+    names, want = [c[0] for c in cur.description], cur.fetchall()
+    assert names == df.columns and any(r[names.index("tokens")] for r in want) and any(r[names.index("keyword_senses")] for r in want)
+    text = lambda v: sorted(v.items()) if isinstance(v, dict) else v.replace(tzinfo=None) if isinstance(v, datetime) else v
+    plain = lambda rows: sorted(repr([text(v) for v in r]) for r in rows)
+    assert plain(tuple(r) for r in df.collect()) == plain(want)
+
+
 def keyed(n, seed=2):
     rnd = random.Random(seed)
     return [("hot" if rnd.random() < 0.4 else rnd.choice([None, "", *"abcdefg"]), rnd.choice([None, *range(-20, 60)])) for _ in range(n)]
