@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -157,9 +159,12 @@ def encode(
                 rows.append((i, h, k, enc.encode_ordinary(piece)))
             yield _table(piece_arrow, *(list(zip(*rows, strict=True)) or [[]] * 4))
 
+    def same(*keys: str):  # null ids are equal
+        return reduce(and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys])
+
     joined = (
-        chunks.join(found.where(~F.col("unjoined")), ["_id", "_hash", "k"])
-        .select("_id", "_hash", "k", "part", "start", "stop")
+        chunks.alias("a").join(found.where(~F.col("unjoined")).alias("b"), same("_id", "_hash", "k"))
+        .select("a._id", "a._hash", "a.k", "part", "start", "stop")
         .mapInArrow(pieces, piece_type)
         .groupBy("_id", "_hash", "k")  # equal rows bring equal pieces, which are counted and kept once
         .agg(F.first("ids").alias("ids"), F.count(F.lit(1)).cast("int").alias("copies"))
@@ -169,8 +174,8 @@ def encode(
         .drop("_c")
     )
     rest = (
-        long.withColumn("_hash", F.xxhash64("_text"))
-        .join(found.where(F.col("unjoined") & (F.col("k") == 0)).select("_id", "_hash"), ["_id", "_hash"], "left_semi")
+        long.withColumn("_hash", F.xxhash64("_text")).alias("a")
+        .join(found.where(F.col("unjoined") & (F.col("k") == 0)).select("_id", "_hash").alias("b"), same("_id", "_hash"), "left_semi")
         .select("_id", "_text")
         .mapInArrow(whole, out_type)
     )

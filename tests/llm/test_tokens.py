@@ -25,6 +25,14 @@ def test_encode_equals_whole(spark, chunk, overlap):
     assert all(tokens.decode(ids) == (texts()[i] or "") for i, ids in out)
 
 
+def test_long_texts_without_an_id(spark):
+    enc = tokens.encoder()[0]
+    long = [t for t in texts() if t and len(t) > 256]
+    rows = [(None, t, "", 1) for t in [*long, long[0], "short"]] + [(1, long[0], "", 1)]
+    out = tokens.encode(spark.createDataFrame(rows, SCHEMA).repartition(3), chunk=256, overlap=64).collect()
+    assert sorted((str(r["doc_id"]), list(r["ids"])) for r in out) == sorted((str(i), enc.encode_ordinary(t)) for i, t, _, _ in rows)
+
+
 def test_encode_empty_table_and_arguments(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert tokens.encode(none).count() == 0 and tokens.measure(none, ["doc_id"]).count() == 0 and split.split(none).count() == 0
