@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import abuse, distinct, frequent, language, mix, split, tokens
@@ -49,6 +49,14 @@ def _author_registers(spark: SparkSession, d: str) -> DataFrame:
 
 #: A segment counts as written in its language from this confidence and so many words on.
 SURE, MIN_WORDS = 0.55, 4
+#: A segment of fewer words counts from this confidence on.
+SHORT_SURE = 0.9
+
+
+def _stands(s: Column) -> Column:
+    """Whether a segment counts as written in its language."""
+    sure = F.when(s["words"] >= MIN_WORDS, s["confidence"] >= SURE).otherwise(s["confidence"] >= SHORT_SURE)
+    return (s["language"] != language.UND) & sure
 
 
 def _network(spark: SparkSession, d: str) -> language.Network:
@@ -65,7 +73,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return (
         found.where(F.col("n_words") >= MIN_WORDS)
         .select("id", "stated", F.explode("segments").alias("s"))
-        .where((F.col("s.language") != language.UND) & (F.col("s.confidence") >= SURE) & (F.col("s.words") >= MIN_WORDS))
+        .where(_stands(F.col("s")))
         .where(~F.col("stated").eqNullSafe(F.col("s.language")))
         .select("id", F.col("s.language").alias("language"))
         .distinct()
