@@ -151,15 +151,15 @@ def p6_bounds(spark: SparkSession, d: str) -> DataFrame:
     return e.join(g, same, "left").groupBy("e.level").agg(F.count(F.lit(1)).alias("n_groups"), F.count(F.when(ok, 1)).alias("n_within"))
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _scored(spark: SparkSession, d: str, restored: bool = True) -> DataFrame:
     comments = table(spark, d, "reddit_comments")
     scorer = abuse.fit(comments, table(spark, d, "moderation_labels"), table(spark, d, "language_samples"))
-    return abuse.score(comments, scorer, ["kafka_partition", "kafka_offset", "id", "subreddit"], "body")
+    return abuse.score(comments, scorer, ["kafka_partition", "kafka_offset", "id", "subreddit"], "body", restored)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The comments with an abusive body."""
-    found = _scored(spark, d).where((F.col("id") != "") & (F.col("score") >= abuse.THRESHOLD))
+    found = _scored(spark, d, restored=False).where((F.col("id") != "") & (F.col("score") >= abuse.THRESHOLD))
     return found.select("id").distinct()
 
 
@@ -171,7 +171,7 @@ def p7_scores(spark: SparkSession, d: str) -> DataFrame:
 def p7_rates(spark: SparkSession, d: str) -> DataFrame:
     """Per subreddit, the comments, the abusive ones and their share."""
     bad = F.count(F.when(F.col("score") >= abuse.THRESHOLD, 1))
-    return _scored(spark, d).groupBy("subreddit").agg(
+    return _scored(spark, d, restored=False).groupBy("subreddit").agg(
         F.count(F.lit(1)).alias("n_comments"), bad.alias("n_abusive"), (bad / F.count(F.lit(1))).alias("rate")
     )
 
