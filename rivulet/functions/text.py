@@ -135,10 +135,14 @@ def countable(token: Column, stopwords: Sequence[str], shortest: int = 3) -> Col
     return (F.length(token) >= shortest) & token.rlike(r"^\p{L}+$") & ~token.isin(*stopwords)
 
 
+def known_zipf(zipf: Column) -> Column:
+    """A Zipf frequency, with that of rare words (2.5) for words without one (0 or null)."""
+    return F.when(F.coalesce(zipf, F.lit(0.0)) <= 0, F.lit(2.5)).otherwise(zipf)
+
+
 def informativeness(zipf: Column) -> Column:
     """How telling a word is by its Zipf frequency: rarer words weigh more, unknown ones (0 or null) count as 2.5."""
-    known = F.when(F.coalesce(zipf, F.lit(0.0)) <= 0, F.lit(2.5)).otherwise(zipf)
-    return F.greatest(F.lit(1.0), F.lit(7.5) - known)
+    return F.greatest(F.lit(1.0), F.lit(7.5) - known_zipf(zipf))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +35,25 @@ def clean_list(words: Column) -> Column:
     return F.when(F.forall(w, lambda x: F.coalesce(x.rlike(KEYWORD), F.lit(False))), w)
 
 
+#: More tracked keywords than this are no configuration any more.
+MAX_KEYWORDS = 100_000
+
+
 def tracked(table: DataFrame) -> dict[str, list[str]]:
-    """The control table (keyword, subkeywords) as {keyword: subkeywords}; it is configuration, small by its nature."""
-    rows = table.where(valid_keyword(F.col("keyword"))).limit(10_000).collect()
-    return {k: list(dict(rows).get(k) or []) for k in normalise_keywords(r["keyword"] for r in rows)}
+    """The control table (keyword, subkeywords) as {keyword: subkeywords}, all in normal form, each keyword once.
+
+    It is configuration, which people write; more than MAX_KEYWORDS rows are an error, none is ever left out. Rows of one
+    keyword add up. Invalid keywords and invalid sub-keywords go.
+    """
+    rows = table.where(valid_keyword(F.col("keyword"))).select("keyword", "subkeywords").take(MAX_KEYWORDS + 1)
+    if len(rows) > MAX_KEYWORDS:
+        raise ValueError(f"more than {MAX_KEYWORDS} tracked keywords")
+    out: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r["keyword"], r["subkeywords"] or [])):
+        subs = [w.strip().lower() for w in r["subkeywords"] or [] if w]
+        listed = out.setdefault(r["keyword"].strip().lower(), [])
+        listed += [w for w in dict.fromkeys(subs) if re.match(KEYWORD, w) and w not in listed]
+    return dict(sorted(out.items()))
 
 
 class Registry:
@@ -86,22 +102,62 @@ class Registry:
         return listed
 
 
+def _form(keyword: str) -> str:
+    """The words of a keyword, without what stands between them."""
+    return " ".join(re.findall(r"\w+", keyword))
+
+
+def _runs(words: Column, n: int) -> Column:
+    """Every n neighbouring words, joined by spaces."""
+    if n == 1:
+        return words
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+
 def matched(text: Column, keywords: Sequence[str]) -> Column:
     """The tracked keywords that occur as whole words in a text, in any case, sorted.
 
-    The text is cut into words once, and keywords of one word are looked up among them. Only the others (of several
-    words, or with signs) are searched by pattern, in texts that contain their letters.
+    The text is cut into words once; words and runs of words are looked up in one hash set of all keywords, so the size
+    of the plan does not depend on how many there are. Only a keyword whose words are there in their order, and that has
+    signs or several words, is then searched as it is written.
     """
     words = normalise_keywords(keywords)
-    simple = [w for w in words if re.fullmatch(r"\w+", w)]
-    low = F.lower(text)
-    found = F.array().cast("array<string>")
-    if simple:
-        found = F.array_intersect(F.split(low, rf"[^{X.W}]+"), F.array(*map(F.lit, simple)))
-    others = [F.when(F.contains(low, F.lit(w)) & text.rlike(X.whole_word(w)), F.lit(w)) for w in words if w not in simple]
+    forms: dict[str, list[str]] = {}
+    for w in words:
+        forms.setdefault(_form(w), []).append(w)
+    none = F.array().cast("array<string>")
+    bare = forms.pop("", [])  # of signs only
+    exact = [w for w in words if re.fullmatch(r"\w+", w)]
+    rest = {f: [w for w in ws if w != f or " " in w] for f, ws in forms.items()}
+    rest = {f: ws for f, ws in rest.items() if ws}
+
+    def find(split: Column) -> Column:
+        found = F.array_distinct(F.filter(split, lambda w: w.isin(*exact))) if exact else none
+        candidates = []
+        for n in sorted({f.count(" ") + 1 for f in rest}):
+            of_n = [f for f in rest if f.count(" ") + 1 == n]
+            candidates.append(F.array_distinct(F.filter(_runs(split, n), lambda r: r.isin(*of_n))))  # noqa: B023
+        if not candidates:
+            return found
+        of = F.create_map(*[x for f, ws in rest.items() for x in (F.lit(f), F.array(*map(F.lit, ws)))])
+        hit = lambda k: F.contains(F.lower(text), k) & F.regexp_like(text, F.concat(F.lit("(?iu)"), *_edges(k)))
+        named = F.flatten(F.transform(F.concat(*candidates), lambda c: of[c]))
+        return F.concat(found, F.filter(named, hit))
+
+    found = X.let(F.filter(F.split(F.lower(text), rf"[^{X.W}]+"), lambda w: w != ""), find)
+    others = [F.when(text.rlike(X.whole_word(w)), F.lit(w)) for w in bare]
     return F.array_sort(F.concat(found, F.array_compact(F.array(*others)))) if others else F.array_sort(found)
 
 
+def _edges(keyword: Column) -> list[Column]:
+    """The parts of a pattern for a keyword: as whole_word() of text functions, for a column."""
+    word = rf"[{X.W}]"
+    left = F.when(keyword.rlike(rf"^{word}"), F.lit(rf"(?<!{word})")).otherwise(F.lit(rf"(?<={word})"))
+    right = F.when(keyword.rlike(rf"{word}$"), F.lit(rf"(?!{word})")).otherwise(F.lit(rf"(?={word})"))
+    return [left, F.regexp_replace(keyword, r"([.+#-])", r"\\$1"), right]
+
+
 def context_sense(text: Column, senses: Mapping[str, Sequence[str]]) -> Column:
     """The sense of which most context words occur in the text; ambiguous without any or with a tie."""
     counts = {s: sum((text.rlike(X.whole_word(w)).cast("int") for w in ws), F.lit(0)) for s, ws in senses.items()}
@@ -128,8 +184,6 @@ def embedding_sense(
     A sub-keyword without a vector scores 1 if it is itself a token. ambiguous if nothing scores, the best stays below
     least, or it leads the second by less than margin.
     """
-    import numpy as np
-
     tokens = [t.lower() for t in tokens or [] if t]
     known = [np.asarray(vectors[t], float) for t in tokens if t in vectors]
     mean = np.mean(known, axis=0) if known else None
@@ -147,18 +201,64 @@ def embedding_sense(
     return ranked[0][0]
 
 
-def embedding_senses(spark, tokens: Column, words: Mapping[str, Sequence[str]], vectors: Mapping[str, list[float]]) -> Column:
-    """Map of the sense of each given keyword, from word vectors that are broadcast (a vocabulary, bounded by its model)."""
-    sent = spark.sparkContext.broadcast((dict(words), dict(vectors)))
+#: Word vectors are sent to every executor; larger tables are to be cut to the words that matter.
+MAX_VECTOR_BYTES = 512 << 20
+
+
+def embedding_senses(
+    spark, tokens: Column, words: Mapping[str, Sequence[str]], vectors: Mapping[str, list[float]], least: float = 0.20, margin: float = 0.05
+) -> Column:
+    """Map of the sense of each given keyword, by the rule of embedding_sense, for whole batches of token lists at once.
+
+    The vectors are broadcast as one matrix; a vocabulary of more than MAX_VECTOR_BYTES is an error.
+    """
+    names = sorted(vectors)
+    matrix = np.array([vectors[w] for w in names], np.float64).reshape(len(names), -1)
+    if matrix.nbytes > MAX_VECTOR_BYTES:
+        raise ValueError(f"word vectors of {matrix.nbytes} bytes are too many to broadcast")
+    sent = spark.sparkContext.broadcast((names, matrix, {k: list(s) for k, s in words.items()}))
 
     @F.pandas_udf("map<string,string>")
     def senses(column: pd.Series) -> pd.Series:
-        subs, vecs = sent.value
-        return column.map(lambda ts: {k: embedding_sense(list(ts) if ts is not None else [], s, vecs) for k, s in subs.items()})
+        vocabulary, rows, subs = sent.value
+        picks = _sense_batch([[t.lower() for t in ts if t] if ts is not None else [] for ts in column], pd.Index(vocabulary), rows, subs, least, margin)
+        return pd.Series([dict(zip(subs, p, strict=True)) for p in zip(*picks.values(), strict=True)] if len(column) else [], dtype=object)
 
     return senses(tokens)
 
 
+def _sense_batch(lists: list[list[str]], vocabulary: pd.Index, rows: np.ndarray, subs: Mapping[str, list[str]], least: float, margin: float) -> dict[str, np.ndarray]:
+    """For each keyword the sense of every token list."""
+    n, flat = len(lists), [t for ts in lists for t in ts]
+    owner = np.repeat(np.arange(n), [len(ts) for ts in lists])
+    at = vocabulary.get_indexer(flat) if flat else np.empty(0, np.int64)
+    known = at >= 0
+    count = np.bincount(owner[known], minlength=n)
+    mean = np.zeros((n, rows.shape[1]))
+    np.add.at(mean, owner[known], rows[at[known]])
+    mean /= np.maximum(count, 1)[:, None]
+    norm = np.linalg.norm(mean, axis=1)
+    flat_array = np.array(flat, dtype=object)
+    out = {}
+    for k, listed in subs.items():
+        score = np.full((len(listed), n), -np.inf)
+        for j, s in enumerate(listed):
+            i = vocabulary.get_indexer([s])[0]
+            if i >= 0:
+                length = norm * np.linalg.norm(rows[i])
+                cosine = np.divide(mean @ rows[i], length, out=np.zeros(n), where=length > 0)
+                score[j] = np.where(count > 0, cosine, -np.inf)
+            else:
+                score[j, owner[flat_array == s]] = 1.0
+        best = score.argmax(axis=0)
+        top = score[best, np.arange(n)]
+        score[best, np.arange(n)] = -np.inf
+        second = score.max(axis=0) if len(listed) > 1 else np.full(n, -np.inf)
+        sure = (top >= least) & ((second == -np.inf) | (top - np.where(second == -np.inf, 0, second) >= margin))
+        out[k] = np.where(sure, np.array(listed, dtype=object)[best], AMBIGUOUS)
+    return out
+
+
 def tag(
     df: DataFrame,
     words: Mapping[str, Sequence[str]],
@@ -177,15 +277,17 @@ def tag(
     by_vector = {k: s for k, s in words.items() if s and vectors}
     near = embedding_senses(df.sparkSession, F.col("tokens"), by_vector, vectors) if by_vector else None
     entries = []
-    for k in normalise_keywords(words):
+    plain = {k for k, s in words.items() if s and k not in by_vector and k not in senses}
+    for k in normalise_keywords(set(words) - plain):
         if near is not None and k in by_vector:
             sense = near[k]
         elif k in senses:
             sense = X.let(text, _sense_in(senses[k]))
-        elif words[k]:
-            sense = F.lit(AMBIGUOUS)
         else:
             continue
         entries.append(F.when(F.array_contains("matched_keywords", k), F.struct(F.lit(k).alias("key"), sense.alias("value"))))
     found = F.array_compact(F.array(*entries)) if entries else F.array().cast("array<struct<key:string,value:string>>")
+    if plain:  # with sub-keywords and nothing to tell them by
+        unclear = F.filter("matched_keywords", lambda k: k.isin(*sorted(plain)))
+        found = F.array_sort(F.concat(found, F.transform(unclear, lambda k: F.struct(k.alias("key"), F.lit(AMBIGUOUS).alias("value")))))
     return df.withColumn("keyword_senses", F.map_from_entries(found))

@@ -1,32 +1,101 @@
-"""The English gate of the cleaning stage: short texts pass, longer ones by the share of frequent English words."""
+"""The English gate of the cleaning stage: a naive Bayes classifier over letter trigrams, trained on labelled texts.
+
+Its table of trigrams is counted in Spark and has a fixed size; texts are classified by array operations over whole
+Arrow batches.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rivulet.functions import text as X
 
+#: Shorter texts pass the gate unseen (a fixed value).
 SHORTEST = 20
-#: Frequent words of English that are rare in its neighbours, and frequent words of those (fixed values).
-ENGLISH = """
-the and of to is that it was for on with as you he be at by i this had not are but from or have an they which one
-we were her all she there would their what so up out if about who get when can my your how why does did this
-""".split()
-FOREIGN = """
-der die das und ist nicht ein eine ich sie mit auf den le la les des et est une que pour dans pas je vous el los las y
-en por con para una no se lo il di che e per un sono non o os as da do em um uma het een van niet ik je dat de zo
-""".split()
-
-
-def is_english(text: Column) -> Column:
-    """Blank texts and texts of fewer than 20 characters pass; others if they are mostly ASCII letters and have no more foreign than English frequent words."""
-
-    def gate(t: Column) -> Column:
-        letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-        mostly_latin = F.length(F.regexp_replace(t, r"[^A-Za-z]", "")) * 10 >= letters * 9
-        count = lambda words, known: F.size(F.filter(words, lambda w: w.isin(*known)))
-        words = F.split(F.lower(t), rf"[^{X.W}]+")
-        return (F.length(t) < SHORTEST) | (mostly_latin & X.let(words, lambda w: count(w, ENGLISH) >= count(w, FOREIGN)))
-
-    return X.let(X.strip(F.coalesce(text, F.lit(""))), gate)
+#: At most so many trigrams of each language are kept, the most frequent ones; a language has fewer that matter.
+MAX_GRAMS = 50_000
+#: What is added to each count.
+SMOOTH = 0.5
+
+
+@dataclass(frozen=True)
+class Detector:
+    """grams: the sorted codes of the known trigrams; log: their log-probability in each language."""
+
+    languages: tuple[str, ...]
+    grams: np.ndarray
+    log: np.ndarray
+
+    def detect(self, texts: list[str]) -> list[str | None]:
+        """The likeliest language of each text (the first one of several); None for a text without a known trigram."""
+        c = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        row = np.cumsum(c == 10)
+        codes = _codes(c)
+        inside = (c[:-2] != 10) & (c[1:-1] != 10) & (c[2:] != 10)
+        at = np.minimum(np.searchsorted(self.grams, codes), max(0, len(self.grams) - 1))
+        known = np.flatnonzero(inside & (self.grams[at] == codes)) if len(self.grams) else np.empty(0, np.int64)
+        of = row[known]
+        score = np.stack([np.bincount(of, self.log[at[known], j], len(texts)) for j in range(len(self.languages))], axis=1) if len(texts) else np.zeros((0, 1))
+        seen = np.bincount(of, minlength=len(texts)) > 0
+        return [self.languages[j] if s else None for j, s in zip(score.argmax(axis=1).tolist(), seen.tolist(), strict=True)]
+
+
+def _codes(c: np.ndarray) -> np.ndarray:
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+
+
+def letters(text: Column) -> Column:
+    """The words of a text in lower case, with one space before, between and behind them."""
+    return F.concat(F.lit(" "), X.strip(F.lower(F.regexp_replace(text, r"[^\p{L}]+", " "))), F.lit(" "))
+
+
+def trigrams(text: Column) -> Column:
+    t = letters(text)
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
+
+
+def train(samples: DataFrame, max_grams: int = MAX_GRAMS) -> Detector:
+    """A detector from samples (lang, text). Rows without a language or a letter are left out; no sample at all is an error."""
+    known = samples.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = known.select("lang", F.explode(trigrams(F.col("text"))).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    kept = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= max_grams)
+    rows = kept.select("lang", "gram", "n").toPandas()
+    if rows.empty:
+        raise ValueError("labelled texts are needed")
+    languages = tuple(sorted(rows["lang"].unique()))
+    names = sorted(rows["gram"].unique())
+    text = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(-1, 3)
+    codes = (text[:, 0] << 42) | (text[:, 1] << 21) | text[:, 2]
+    n = np.zeros((len(names), len(languages)))
+    n[pd.Index(names).get_indexer(rows["gram"]), pd.Index(languages).get_indexer(rows["lang"])] = rows["n"]
+    order = np.argsort(codes)
+    log = np.log((n + SMOOTH) / (n.sum(axis=0) + SMOOTH * len(names)))
+    return Detector(languages, codes[order], log[order])
+
+
+def detect(spark: SparkSession, text: Column, detector: Detector) -> Column:
+    """The language of a text; null for texts without a letter, or none of whose trigrams is known."""
+    sent = spark.sparkContext.broadcast(detector)  # a table of bounded size, see MAX_GRAMS
+
+    @F.pandas_udf("string")
+    def language(column: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.detect(column.tolist()), dtype=object)
+
+    return language(letters(F.coalesce(text, F.lit(""))))
+
+
+def is_english(spark: SparkSession, text: Column, detector: Detector | None) -> Column:
+    """Blank texts and texts of fewer than 20 characters pass, others if they are in English.
+
+    Without a detector, and where it knows nothing of a text, everything passes.
+    """
+    if detector is None:
+        return F.lit(True)
+    short = F.length(X.strip(F.coalesce(text, F.lit("")))) < SHORTEST
+    return short | (F.coalesce(detect(spark, text, detector), F.lit("en")) == "en")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions import text as X
-from rivulet.operators.language import is_english
+from rivulet.operators.language import Detector, is_english
 from rivulet.schemas import RAW, REQUIRED
 
 DELETED = ("[deleted]", "[removed]")
@@ -63,11 +63,11 @@ def malformed(parsed: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
     )
 
 
-def cleaned(comments: DataFrame, english_only: bool = True, stopwords=(), stem: bool = False) -> DataFrame:
-    """The cleaned record of each valid comment; texts that are not English go if english_only."""
+def cleaned(comments: DataFrame, detector: Detector | None = None, stopwords=(), stem: bool = False) -> DataFrame:
+    """The cleaned record of each valid comment; texts that are not English go. Without a detector all stay."""
     df = comments.withColumn("cleaned_body", X.clean(F.col("body")))
-    if english_only:
-        df = df.where(is_english(F.col("cleaned_body")))
+    if detector is not None:
+        df = df.where(is_english(df.sparkSession, F.col("cleaned_body"), detector))
     tokens = X.tokenize(F.col("cleaned_body"), stopwords)
     if stem:
         from rivulet.functions.stem import stem_tokens

@@ -44,11 +44,9 @@ def weighted_percentiles(weighted: DataFrame, probs: Sequence[float]) -> DataFra
     (key, value), so a key with more values than fit a task is spread over several; each piece adds up its own weights
     and starts from the sum of the pieces before it.
     """
-    spark = weighted.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(
         weighted.where(F.col("value").isNotNull())
-        .repartitionByRange(n_parts, "key", "value")
+        .repartitionByRange("key", "value")  # without a number, so that small partitions are put together
         .withColumn("piece", F.spark_partition_id())
     )
     pieces = ranged.groupBy("piece", "key").agg(F.sum("weight").alias("sum"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,27 +12,39 @@ from pyspark.sql import functions as F
 
 from rivulet.functions import text as X
 from rivulet.functions.sketches import CMS_DEPTH, CMS_WIDTH
+from rivulet.operators import countmin
 from rivulet.operators.windows import bucket
 
-#: The default stop words (fixed values); a longer list, for a language or a community, is a parameter: see load_stopwords.
-STOPWORDS = """
-the and but for nor yet with about against between into through during before after above below from down out off over
-under again further once because until while than then you your yours yourself him his himself she her hers herself its
-itself they them their theirs themselves what which who whom this that these those all any both each few more most other
-some such own same our ours ourselves myself are was were been being have has had having must may might shall does did
-doing will would could should can cannot get got make made say says said going want not only very too just also here
-there when where why how now even still really much many well way like one something nothing thing things
-""".split()
+#: Without a list of their own, trending terms leave out the stop words of the tokenizer.
+STOPWORDS = X.STOPWORDS
 
 
-def load_stopwords(path: str | None) -> list[str]:
-    """Stop words from a text file, one on each line; the default ones without a path."""
+def load_stopwords(path: str | None) -> Sequence[str]:
+    """Stop words from a text file, one on each line (a list for trending terms, a language or a community); the default ones without a path."""
     if not path:
         return STOPWORDS
     with open(path, encoding="utf-8") as f:
         return sorted({w.strip().lower() for w in f if w.strip()})
 
 
+def zipf_table(comments: DataFrame, least: int = 1) -> DataFrame:
+    """(word, n, zipf) of the lower-cased tokens of letters: zipf is the decimal logarithm of their frequency in a billion tokens.
+
+    Words met fewer than least times are left out of the table, not of the total.
+    """
+    words = comments.select(F.explode("tokens").alias("t")).select(F.lower("t").alias("word")).where(F.col("word").rlike(r"^\p{L}+$"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("t"))
+    return counts.where(F.col("n") >= least).select("word", "n", F.log10(F.col("n") / total.scalar() * 1e9).alias("zipf"))
+
+
+def common_words(zipf: DataFrame, share: float = 0.01) -> list[str]:
+    """The words that hold at least that share of all tokens, as stop words made by rule; there are 1 / share of them at most."""
+    if not 0.001 <= share <= 1:
+        raise ValueError("share must be from 0.001 to 1")
+    return sorted(r["word"] for r in zipf.where(F.col("zipf") >= math.log10(share) + 9).select("word").collect())
+
+
 def terms(tokens: Column, keyword: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
     """The distinct terms of one comment for one keyword: countable words, and pairs of neighbouring ones.
 
@@ -72,6 +86,15 @@ def term_counts(df: DataFrame, size: int, stopwords: Sequence[str] = STOPWORDS)
     return rows.groupBy("keyword", bucket(F.col("created_utc"), size).alias("window_start"), "term").agg(F.count(F.lit(1)).alias("count"))
 
 
+def weigh(counts: DataFrame, zipf: DataFrame | None) -> DataFrame:
+    """counts (term, count, ...) with score: count times the informativeness of the rarest word of the term."""
+    if zipf is None:
+        return counts.withColumn("score", F.col("count").cast("double"))
+    words = counts.select("term").distinct().withColumn("word", F.explode(F.split("term", " ")))
+    least = words.join(zipf.select("word", "zipf"), "word", "left").groupBy("term").agg(F.min(X.known_zipf(F.col("zipf"))).alias("low"))
+    return counts.join(least, "term").withColumn("score", F.col("count") * X.informativeness(F.col("low"))).drop("low")
+
+
 def publish(
     counts: DataFrame, size: int, k: int = 20, min_terms: int = 30, min_count: int = 2, zipf: DataFrame | None = None
 ) -> DataFrame:
@@ -81,12 +104,7 @@ def publish(
     a quiet window is published with no items. zipf: (word, zipf) frequencies; without them every term weighs 1. Only the
     best k of a window are ever put in one row.
     """
-    if zipf is None:
-        weighted = counts.withColumn("score", F.col("count").cast("double"))
-    else:
-        words = counts.select("term").distinct().withColumn("word", F.explode(F.split("term", " ")))
-        least = words.join(zipf, "word", "left").groupBy("term").agg(F.min(F.coalesce("zipf", F.lit(0.0))).alias("z"))
-        weighted = counts.join(least, "term").withColumn("score", F.col("count") * X.informativeness(F.col("z")))
+    weighted = weigh(counts, zipf)
     key = ["keyword", "window_start"]
     totals = counts.groupBy(*key).agg(F.sum("count").alias("stream_total")).where(F.col("stream_total") >= min_terms)
     best = weighted.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("score"), "term"))).where(F.col("rank") <= k)
@@ -113,3 +131,46 @@ def publish(
 
 def trending(df: DataFrame, size: int, stopwords: Sequence[str] = STOPWORDS, **how) -> DataFrame:
     return publish(term_counts(first_of_body(df, size), size, stopwords), size, **how)
+
+
+@dataclass(frozen=True)
+class Counters:
+    """A trending counter of bounded size for each group: cells of a Count-Min sketch, and the state of a sketch of candidates.
+
+    The candidates are max(8 k, 128) terms; what they are ranked by is their estimate in the merged cells times their
+    weight, so a telling term of modest count can still rank.
+    """
+
+    keys: tuple[str, ...]
+    k: int
+    cells: DataFrame
+    candidates: DataFrame
+
+    @property
+    def capacity(self) -> int:
+        return max(8 * self.k, 128)
+
+    @staticmethod
+    def build(rows: DataFrame, keys: Sequence[str], k: int = 20) -> Counters:
+        """rows: keys and term, one row for each occurrence. Both sketches are combined before the shuffle."""
+        state = F.call_function("approx_top_k_accumulate", F.col("term"), F.lit(max(8 * k, 128)))
+        candidates = rows.groupBy(*keys).agg(state.alias("state"), F.count(F.lit(1)).alias("total"))
+        return Counters(tuple(keys), k, countmin.build(rows, keys, "term"), candidates)
+
+    def merge(self, keys: Sequence[str]) -> Counters:
+        """The counters of coarser groups."""
+        state = F.call_function("approx_top_k_combine", F.col("state"), F.lit(self.capacity))
+        candidates = self.candidates.groupBy(*keys).agg(state.alias("state"), F.sum("total").alias("total"))
+        return Counters(tuple(keys), self.k, countmin.merge(self.cells, keys), candidates)
+
+    def estimates(self) -> DataFrame:
+        """(keys, term, count) of the candidates of every group."""
+        listed = F.call_function("approx_top_k_estimate", F.col("state"), F.lit(self.capacity))
+        asked = self.candidates.select(*self.keys, F.explode(listed).alias("c")).select(*self.keys, F.col("c.item").alias("term"))
+        return countmin.estimate(self.cells, asked, self.keys, "term").withColumnRenamed("estimate", "count")
+
+    def top(self, zipf: DataFrame | None = None) -> DataFrame:
+        """(keys, term, count, score, rank) of the k best terms of every group, by score, then by term."""
+        scored = weigh(self.estimates(), zipf).withColumn("score", F.round("score", 2))
+        w = W.partitionBy(*self.keys).orderBy(F.desc("score"), "term")
+        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)

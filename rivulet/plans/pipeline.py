@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from rivulet.functions import sketches
 from rivulet.functions import text as X
-from rivulet.operators import countmin, keywords, late, parse, trending, windows
-from rivulet.operators.language import ENGLISH, FOREIGN, SHORTEST, is_english
+from rivulet.operators import countmin, keywords, language, late, parse, trending, windows
+from rivulet.plans.stated import LANGUAGE, STOP, WORD, clean, has_word, listed, strip, tokens
 from rivulet.schemas import RAW
-from rivulet.sources import replay
 from rivulet.session import table
+from rivulet.sources import replay
 
 POS = ["kafka_partition", "kafka_offset"]
 HOUR, FIVE_MINUTES = 3600, 300
@@ -67,13 +67,27 @@ def tokens_without_stopwords(spark: SparkSession, d: str) -> DataFrame:
     return _cleaned(spark, d).select(*POS, F.array_join(tokens, "|").alias("tokens"))
 
 
+def clean_lower(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "reddit_comments").select(*POS, X.clean(F.col("body"), lower=True).alias("cleaned_body"))
+
+
+def detector(spark: SparkSession, d: str) -> language.Detector:
+    return language.train(table(spark, d, "language_samples"))
+
+
+def detected_languages(spark: SparkSession, d: str) -> DataFrame:
+    found = language.detect(spark, X.clean(F.col("body")), detector(spark, d))
+    return table(spark, d, "reddit_comments").select(*POS, found.alias("language"))
+
+
 def english_gate(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "reddit_comments").select(*POS, is_english(X.clean(F.col("body"))).alias("english"))
+    found = language.is_english(spark, X.clean(F.col("body")), detector(spark, d))
+    return table(spark, d, "reddit_comments").select(*POS, found.alias("english"))
 
 
 def cleaned_comments(spark: SparkSession, d: str) -> DataFrame:
     """Raw JSON to cleaned records: parse, clean, English gate, tokens."""
-    out = parse.cleaned(parse.valid(parse.parse(raw_json(spark, d))))
+    out = parse.cleaned(parse.valid(parse.parse(raw_json(spark, d))), detector(spark, d))
     return out.select("id", "author", "created_utc", "subreddit", "original_body", "cleaned_body", F.array_join("tokens", "|").alias("tokens"), "score", "controversiality", "language", *POS)
 
 
@@ -116,6 +130,37 @@ def trending_windows(spark: SparkSession, d: str) -> DataFrame:
     return out.select("keyword", "window_start", "window_end", F.array_join(items, "|").alias("items"), F.col("sketch.stream_total").alias("stream_total"))
 
 
+def zipf_words(spark: SparkSession, d: str) -> DataFrame:
+    """Zipf frequencies of the words of all comments."""
+    return trending.zipf_table(_cleaned(spark, d)).withColumn("zipf", F.round("zipf", 6))
+
+
+def trending_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Trending windows of a day ranked by count times informativeness, without the words that hold 1 % of all tokens."""
+    zipf = trending.zipf_table(_cleaned(spark, d))
+    stop = [*trending.STOPWORDS, *trending.common_words(zipf, 0.01)]
+    out = trending.trending(_cleaned(spark, d), 24 * HOUR, stop, zipf=zipf)
+    items = F.transform("items", lambda i: F.concat_ws(":", i["token"], i["count"]))
+    return out.select("keyword", "window_start", F.array_join(items, "|").alias("items"))
+
+
+def trending_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Trending counters of an hour merged to days: their terms, the estimates that are too low (none), and how many of the
+    terms with 1 % of all occurrences are among the candidates (all)."""
+    rows = trending.term_rows(trending.first_of_body(_cleaned(spark, d), HOUR), trending.STOPWORDS, "created_utc")
+    rows = rows.withColumns({"window_start": windows.bucket(F.col("created_utc"), HOUR), "day": windows.bucket(F.col("created_utc"), 24 * HOUR)})
+    days = trending.Counters.build(rows, ["keyword", "window_start", "day"]).merge(["keyword", "day"])
+    exact = rows.groupBy("keyword", "day", "term").agg(F.count(F.lit(1)).alias("n"))
+    totals = days.candidates.select("keyword", "day", F.col("total").alias("n_terms"))
+    got = exact.join(totals, ["keyword", "day"]).join(days.estimates(), ["keyword", "day", "term"], "left")
+    heavy = F.col("n") >= F.col("n_terms") * 0.01
+    return got.groupBy("keyword", "day", "n_terms").agg(
+        F.count(F.when(F.col("count") < F.col("n"), 1)).alias("n_low"),
+        F.count(F.when(heavy, 1)).alias("n_heavy"),
+        F.count(F.when(heavy & F.col("count").isNotNull(), 1)).alias("n_found"),
+    )
+
+
 def sketch_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Per keyword, how many terms a Count-Min sketch counts, how many too low, and whether 95 % keep the bound of e / width."""
     rows = trending.term_rows(_cleaned(spark, d)).select("keyword", "term")
@@ -170,49 +215,16 @@ def replay_slice(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sentiment_windows, sentiment_minutes, reach_windows, reach_merged, trending_terms, trending_windows, sketch_bounds, top_keywords, late_drops,
+        sentiment_windows, sentiment_minutes, reach_windows, reach_merged, trending_terms, trending_windows, trending_weighted,
+        trending_counters, zipf_words, sketch_bounds, top_keywords, late_drops,
         parse_valid, parse_errors, parse_rejected, malformed_counts, clean_bodies, token_lists, tokens_without_stopwords,
-        english_gate, cleaned_comments, tag_comments, keyword_fanout, language_breakdown, label_counts, replay_range,
+        clean_lower, detected_languages, english_gate, cleaned_comments, tag_comments, keyword_fanout, language_breakdown, label_counts, replay_range,
         replay_groups, replay_slice,
     )
 }
 
 
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _list(words) -> str:
-    return "[" + ", ".join(map(_q, words)) + "]"
-
-
-def clean_sql(c: str) -> str:
-    s = f"coalesce({c}, '')"
-    for p, to in ((X.ENTITY, " "), (X.MARKDOWN_LINK, r"\1"), (X.REFERENCE, " "), (X.URL, " "), (X.BLANKS, " "), (rf"^[{X.SPACE}]+|[{X.SPACE}]+$", "")):
-        s = f"regexp_replace({s}, {_q(p)}, {_q(to)}, 'g')"
-    return s
-
-
-def strip_sql(c: str) -> str:
-    return f"regexp_replace({c}, {_q(rf'^[{X.SPACE}]+|[{X.SPACE}]+$')}, '', 'g')"
-
-
-def tokens_sql(c: str) -> str:
-    return f"regexp_extract_all(coalesce({c}, ''), {_q(X.TOKEN)})"
-
-
-def english_sql(c: str) -> str:
-    n = lambda words: f"len(list_filter(string_split_regex(lower({c}), {_q(rf'[^{X.W}]+')}), lambda x: list_contains({_list(words)}, x)))"
-    latin, letters = (f"length(regexp_replace({c}, {_q(p)}, '', 'g'))" for p in ("[^A-Za-z]", r"[^\p{L}]"))
-    return f"(length({c}) < {SHORTEST} OR ({latin} * 10 >= {letters} * 9 AND {n(ENGLISH)} >= {n(FOREIGN)}))"
-
-
-def word_sql(c: str, word: str) -> str:
-    w = rf"(?i)(^|[^{X.W}]){X.java_quote(word)}($|[^{X.W}])"
-    return f"regexp_matches({c}, {_q(w)})"
-
-
-_VALID = f"body IS NOT NULL AND {strip_sql('body')} <> '' AND body NOT IN ('[deleted]', '[removed]') AND created_utc >= 0"
+_VALID = f"body IS NOT NULL AND {strip('body')} <> '' AND body NOT IN ('[deleted]', '[removed]') AND created_utc >= 0"
 _FAN = """SELECT kafka_partition, kafka_offset, created_utc, sentiment_label, k AS base_keyword,
   CASE WHEN coalesce(keyword_senses[k], '') <> '' THEN k || ':' || keyword_senses[k] ELSE k END AS keyword
   FROM (SELECT *, unnest(matched_keywords) AS k FROM reddit_comments_cleaned WHERE sentiment_label <> '')"""
@@ -220,9 +232,9 @@ _AUTHORS = """SELECT created_utc, ingest_ts, author, unnest(matched_keywords) AS
   WHERE author NOT IN ('', '[deleted]')"""
 
 
-def _terms_sql(source: str) -> str:
-    stop = _list(trending.STOPWORDS)
-    return f"""k AS (SELECT *, lower(unnest(matched_keywords)) AS keyword FROM {source}),
+def _terms_sql(source: str, common: str = "[]") -> str:
+    stop = f"list_concat({listed(STOP)}, common)"
+    return f"""k AS (SELECT *, lower(unnest(matched_keywords)) AS keyword, {common} AS common FROM {source}),
   t AS (SELECT * EXCLUDE (tokens), list_transform(coalesce(tokens, []), lambda x: lower(x)) AS tokens FROM k),
   m AS (SELECT *, list_transform(tokens, lambda x: CASE WHEN x = keyword OR (length(x) >= 3 AND regexp_full_match(x, '\\p{{L}}+')
     AND NOT list_contains({stop}, x)) THEN x END) AS kept FROM t),
@@ -232,6 +244,10 @@ def _terms_sql(source: str) -> str:
       lambda x: x IS NOT NULL AND x <> keyword)))) AS term FROM m)"""
 
 
+_ZIPF = """z AS (SELECT word, count(*) AS n, log10(count(*) / sum(count(*)) OVER () * 1e9) AS zipf FROM
+    (SELECT lower(unnest(tokens)) AS word FROM reddit_comments_cleaned) WHERE regexp_full_match(word, '\\p{L}+') GROUP BY word)"""
+
+
 def _first_sql(size: int) -> str:
     return f"""f AS (SELECT * FROM reddit_comments_cleaned QUALIFY row_number() OVER (PARTITION BY coalesce(original_body, ''),
     created_utc // {size} ORDER BY created_utc, id, tokens NULLS FIRST, matched_keywords NULLS FIRST) = 1)"""
@@ -244,7 +260,7 @@ def _sentiment_sql(size: int) -> str:
 
 
 def _sense_sql(k: str) -> str:
-    n = {s: " + ".join(f"CAST({word_sql('cleaned_body', w)} AS INT)" for w in ws) for s, ws in SENSES[k].items()}
+    n = {s: " + ".join(f"CAST({has_word("text", w)} AS INT)" for w in ws) for s, ws in SENSES[k].items()}
     (a, x), (b, y) = n.items()
     return f"CASE WHEN ({x}) > ({y}) THEN '{a}' WHEN ({y}) > ({x}) THEN '{b}' ELSE 'ambiguous' END"
 
@@ -270,6 +286,19 @@ SQL = {
     SELECT keyword, ws AS window_start, ws + 86400 AS window_end, CAST(any_value(total) AS BIGINT) AS stream_total,
     coalesce(string_agg(term || ':' || n, '|' ORDER BY rank) FILTER (rank <= 20 AND n >= 2), '') AS items
     FROM r WHERE total >= 30 GROUP BY keyword, ws""",
+    "zipf_words": f"WITH {_ZIPF} SELECT word, n, round(zipf, 6) AS zipf FROM z",
+    "trending_weighted": f"""WITH {_ZIPF}, {_first_sql(86400)}, {_terms_sql("f", "(SELECT list(word) FROM z WHERE zipf >= 7)")},
+    c AS (SELECT keyword, created_utc // 86400 * 86400 AS ws, term, count(*) AS n FROM s GROUP BY 1, 2, 3),
+    u AS (SELECT term, unnest(string_split(term, ' ')) AS word FROM (SELECT DISTINCT term FROM c)),
+    i AS (SELECT term, greatest(1.0, 7.5 - min(CASE WHEN coalesce(zipf, 0) <= 0 THEN 2.5 ELSE zipf END)) AS w FROM u LEFT JOIN z USING (word) GROUP BY term),
+    r AS (SELECT *, n * w AS score, row_number() OVER (PARTITION BY keyword, ws ORDER BY n * w DESC, term) AS rank,
+      sum(n) OVER (PARTITION BY keyword, ws) AS total FROM c JOIN i USING (term))
+    SELECT keyword, ws AS window_start, coalesce(string_agg(term || ':' || n, '|' ORDER BY rank) FILTER (rank <= 20 AND n >= 2), '') AS items FROM r WHERE total >= 30 GROUP BY keyword, ws""",
+    "trending_counters": f"""WITH {_first_sql(3600)}, {_terms_sql("f")},
+    c AS (SELECT keyword, created_utc // 86400 * 86400 AS day, term, count(*) AS n FROM s GROUP BY 1, 2, 3),
+    w AS (SELECT *, sum(n) OVER (PARTITION BY keyword, day) AS total FROM c)
+    SELECT keyword, day, CAST(max(total) AS BIGINT) AS n_terms, 0 AS n_low, count(*) FILTER (n * 100 >= total) AS n_heavy,
+    count(*) FILTER (n * 100 >= total) AS n_found FROM w GROUP BY keyword, day""",
     "sketch_bounds": f"""WITH {_terms_sql("reddit_comments_cleaned")}, c AS (SELECT DISTINCT keyword, term FROM s)
     SELECT keyword, count(*) AS n_terms, 0 AS n_low, true AS within_bound FROM c GROUP BY keyword""",
     "top_keywords": """SELECT k AS keyword, count(*) AS n FROM (SELECT unnest(matched_keywords) AS k FROM reddit_comments_cleaned)
@@ -282,34 +311,45 @@ SQL = {
     "parse_valid": f"""SELECT coalesce(id, 'None') AS id, coalesce(author, 'None') AS author, created_utc, body, coalesce(score, 0) AS score,
     coalesce(subreddit, 'None') AS subreddit, coalesce(controversiality, 0) AS controversiality, kafka_partition, kafka_offset
     FROM reddit_comments WHERE {_VALID}""",
-    "parse_errors": f"""SELECT CASE WHEN body IS NULL OR {strip_sql("body")} = '' THEN 'empty_body'
+    "parse_errors": f"""SELECT CASE WHEN body IS NULL OR {strip("body")} = '' THEN 'empty_body'
     WHEN body IN ('[deleted]', '[removed]') THEN 'deleted_body' WHEN coalesce(created_utc, -1) < 0 THEN 'invalid_created_utc' END AS error,
     count(*) AS n FROM reddit_comments GROUP BY 1""",
     "parse_rejected": f"""WITH m AS (SELECT raw, ingest_ts, CASE WHEN json_valid(raw) THEN raw END AS j FROM reddit_comments_malformed),
-    x AS (SELECT *, list_sort(list_filter({_list(["author", "body", "controversiality", "created_utc", "id", "score", "subreddit"])},
+    x AS (SELECT *, list_sort(list_filter({listed(["author", "body", "controversiality", "created_utc", "id", "score", "subreddit"])},
       lambda k: NOT list_contains(json_keys(j), k))) AS missing, json_extract(j, '$.body') AS b, j ->> '$.body' AS body FROM m)
     SELECT substr(raw, 1, 2000) AS raw, coalesce(ingest_ts, 0) AS ingest_ts, CASE WHEN j IS NULL THEN 'json_decode_error' WHEN json_type(j) <> 'OBJECT' THEN 'root_not_object'
       WHEN len(missing) > 0 THEN 'missing_fields: [''' || array_to_string(missing, ''', ''') || ''']'
-      WHEN b IS NULL OR json_type(b) <> 'VARCHAR' OR {strip_sql("body")} = '' THEN 'empty_body' WHEN body IN ('[deleted]', '[removed]') THEN 'deleted_body'
+      WHEN b IS NULL OR json_type(b) <> 'VARCHAR' OR {strip("body")} = '' THEN 'empty_body' WHEN body IN ('[deleted]', '[removed]') THEN 'deleted_body'
       WHEN coalesce(TRY_CAST(trunc(TRY_CAST(j ->> '$.created_utc' AS DOUBLE)) AS BIGINT), -1) < 0 THEN 'invalid_created_utc' END AS error
     FROM x WHERE error IS NOT NULL""",
     "malformed_counts": "SELECT split_part(error, ':', 1) AS kind, count(*) AS n FROM reddit_comments_malformed GROUP BY 1",
-    "clean_bodies": f"SELECT kafka_partition, kafka_offset, {clean_sql('body')} AS cleaned_body FROM reddit_comments",
-    "token_lists": f"SELECT kafka_partition, kafka_offset, array_to_string({tokens_sql('cleaned_body')}, '|') AS tokens, len({tokens_sql('cleaned_body')}) AS n FROM reddit_comments_cleaned",
-    "tokens_without_stopwords": f"SELECT kafka_partition, kafka_offset, array_to_string(list_filter({tokens_sql('cleaned_body')}, lambda x: NOT list_contains({_list(X.STOPWORDS)}, lower(x))), '|') AS tokens FROM reddit_comments_cleaned",
-    "english_gate": f"SELECT kafka_partition, kafka_offset, {english_sql('c')} AS english FROM (SELECT *, {clean_sql('body')} AS c FROM reddit_comments)",
-    "cleaned_comments": f"""SELECT coalesce(id, 'None') AS id, coalesce(author, 'None') AS author, created_utc, coalesce(subreddit, 'None') AS subreddit,
-    body AS original_body, c AS cleaned_body, array_to_string({tokens_sql("c")}, '|') AS tokens, coalesce(score, 0) AS score,
+    "clean_bodies": f"SELECT kafka_partition, kafka_offset, {clean('body')} AS cleaned_body FROM reddit_comments",
+    "token_lists": f"SELECT kafka_partition, kafka_offset, array_to_string({tokens('cleaned_body')}, '|') AS tokens, len({tokens('cleaned_body')}) AS n FROM reddit_comments_cleaned",
+    "tokens_without_stopwords": f"SELECT kafka_partition, kafka_offset, array_to_string(list_filter({tokens('cleaned_body')}, lambda x: NOT list_contains({listed(STOP)}, lower(x))), '|') AS tokens FROM reddit_comments_cleaned",
+    "clean_lower": f"SELECT kafka_partition, kafka_offset, lower({clean('body')}) AS cleaned_body FROM reddit_comments",
+    "detected_languages": f"""WITH x AS (SELECT kafka_partition, kafka_offset, {clean('body')} AS t FROM reddit_comments), {LANGUAGE}
+    SELECT kafka_partition, kafka_offset, language FROM x LEFT JOIN y USING (kafka_partition, kafka_offset)""",
+    "english_gate": f"""WITH x AS (SELECT kafka_partition, kafka_offset, {clean('body')} AS t FROM reddit_comments), {LANGUAGE}
+    SELECT kafka_partition, kafka_offset, length(t) < 20 OR coalesce(language, 'en') = 'en' AS english
+    FROM x LEFT JOIN y USING (kafka_partition, kafka_offset)""",
+    "cleaned_comments": f"""WITH x AS (SELECT *, {clean("body")} AS t FROM reddit_comments WHERE {_VALID}), {LANGUAGE}
+    SELECT coalesce(id, 'None') AS id, coalesce(author, 'None') AS author, created_utc, coalesce(subreddit, 'None') AS subreddit,
+    body AS original_body, t AS cleaned_body, array_to_string({tokens("t")}, '|') AS tokens, coalesce(score, 0) AS score,
     coalesce(controversiality, 0) AS controversiality, 'en' AS language, kafka_partition, kafka_offset
-    FROM (SELECT *, {clean_sql("body")} AS c FROM reddit_comments WHERE {_VALID}) WHERE {english_sql("c")}""",
+    FROM x LEFT JOIN y USING (kafka_partition, kafka_offset) WHERE length(t) < 20 OR coalesce(y.language, 'en') = 'en'""",
     "tag_comments": f"""WITH k AS (SELECT lower(trim(keyword)) AS keyword, subkeywords FROM tracked_keywords),
+    t AS (SELECT kafka_partition, kafka_offset, coalesce(nullif(cleaned_body, ''), array_to_string(tokens, ' '), '') AS text FROM reddit_comments_cleaned),
+    w AS (SELECT DISTINCT kafka_partition, kafka_offset, text, unnest(string_split_regex(lower(text), '[^{WORD}]+')) AS word FROM t),
+    m AS (SELECT kafka_partition, kafka_offset, text, keyword FROM w JOIN k ON word = keyword WHERE regexp_full_match(keyword, '[{WORD}]+')
+      UNION ALL SELECT kafka_partition, kafka_offset, text, keyword FROM t, (SELECT keyword FROM k WHERE NOT regexp_full_match(keyword, '[{WORD}]+'))
+      WHERE contains(lower(text), keyword)
+      AND regexp_matches(text, '(?i)(^|[^{WORD}])' || regexp_replace(keyword, '([.+#-])', '\\\\\\1', 'g') || '($|[^{WORD}])')),
     h AS (SELECT kafka_partition, kafka_offset, keyword, CASE
         {" ".join(f"WHEN keyword = '{k}' THEN {_sense_sql(k)}" for k in SENSES)} WHEN len(subkeywords) > 0 THEN 'ambiguous' END AS sense
-      FROM reddit_comments_cleaned, k WHERE regexp_matches(coalesce(cleaned_body, ''),
-        '(?i)(^|[^{X.W}])' || regexp_replace(keyword, '([.+#-])', '\\\\\\1', 'g') || '($|[^{X.W}])'))
-    SELECT c.kafka_partition, c.kafka_offset, coalesce(string_agg(keyword, '|' ORDER BY keyword), '') AS matched,
+      FROM m JOIN k USING (keyword))
+    SELECT t.kafka_partition, t.kafka_offset, coalesce(string_agg(keyword, '|' ORDER BY keyword), '') AS matched,
     coalesce(string_agg(keyword || '=' || sense, '|' ORDER BY keyword), '') AS senses
-    FROM reddit_comments_cleaned c LEFT JOIN h USING (kafka_partition, kafka_offset) GROUP BY ALL""",
+    FROM t LEFT JOIN h USING (kafka_partition, kafka_offset) GROUP BY ALL""",
     "keyword_fanout": f"SELECT kafka_partition, kafka_offset, keyword, base_keyword, sentiment_label FROM ({_FAN})",
     "language_breakdown": """SELECT coalesce(language, 'unknown') AS language, count(*) AS comment_count,
     round_even(avg(CASE WHEN sentiment_label = 'positive' THEN 1.0::DOUBLE ELSE 0 END), 4) AS positive_ratio

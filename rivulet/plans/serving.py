@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.operators import views
-from rivulet.plans.pipeline import _q
+from rivulet.plans.stated import quoted
 from rivulet.session import table
 
 ARRIVAL = ["ingest_ts", "kafka_partition", "kafka_offset"]
@@ -203,7 +203,7 @@ SQL = {
     "known_keywords": f"WITH {_W} SELECT DISTINCT keyword FROM w",
     "recent_comments": f"""WITH {_C}, k AS (SELECT *, unnest(list_distinct(list_transform(matched_keywords, lambda x: lower(x)))) AS keyword FROM c)
     SELECT keyword, id, kafka_partition, kafka_offset FROM k QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY {_DESC}) <= 100""",
-    "matching_comments": f"""WITH {_C}, m AS (SELECT *, regexp_extract(original_body, {_q(r"(?i)(?:^|[^\p{L}\p{N}_])(espresso[^\p{L}\p{N}_]+recipe)(?:$|[^\p{L}\p{N}_])")}, 1) AS hit FROM c
+    "matching_comments": f"""WITH {_C}, m AS (SELECT *, regexp_extract(original_body, {quoted(r"(?i)(?:^|[^\p{L}\p{N}_])(espresso[^\p{L}\p{N}_]+recipe)(?:$|[^\p{L}\p{N}_])")}, 1) AS hit FROM c
       WHERE list_contains(list_transform(matched_keywords, lambda x: lower(x)), '{A}')), n AS (SELECT *, instr(original_body, hit) - 1 AS a FROM m WHERE hit <> ''
       ORDER BY {_DESC} LIMIT 20), b AS (SELECT *, greatest(a - 140, 0) AS lo, least(a + length(hit) + 140, length(original_body)) AS hi FROM n)
     SELECT id, kafka_partition, kafka_offset, CASE WHEN lo > 0 THEN '…' ELSE '' END || trim(substr(original_body, CAST(lo + 1 AS BIGINT), CAST(hi - lo AS BIGINT)), E' \\n\\t\\r')

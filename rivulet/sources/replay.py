@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rivulet.session import cut
+
 #: The first and the last second of a replay (fixed values).
 DATE_START, DATE_END = 1554076800, 1555472130
 
@@ -25,12 +27,26 @@ def numbered(df: DataFrame) -> DataFrame:
 def runs(df: DataFrame, partition: Sequence[str], order: Sequence[str], seconds: str) -> DataFrame:
     """Runs of consecutive records with one time, within each partition; a time that comes again later is another run.
 
-    Columns: partition, run (from 1), the time, n, first (the order value of its first record).
+    Columns: partition, run (from 1), the time, n, first (the order value of its first record). Records are ranged over
+    tasks by (partition, order): each piece numbers its own runs, and a run that goes on in the next piece is counted once.
     """
-    w = W.partitionBy(*partition).orderBy(*order)
-    new = F.when(F.lag(seconds).over(w).eqNullSafe(F.col(seconds)), 0).otherwise(1)
-    marked = df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return marked.groupBy(*partition, "run", seconds).agg(F.count(F.lit(1)).alias("n"), F.min(order[0]).alias("first"))
+    ranged = cut(df.select(*partition, *order, seconds).repartitionByRange(*partition, *order).withColumn("_piece", F.spark_partition_id()))
+    w = W.partitionBy(*partition, "_piece").orderBy(*order)
+    again = F.lag(seconds).over(w).eqNullSafe(F.col(seconds)) & F.lag(F.lit(True)).over(w).isNotNull()
+    marked = ranged.withColumn("_new", F.when(again, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    at = F.struct(*order)
+    pieces = marked.groupBy(*partition, "_piece").agg(F.max("_run").alias("_n"), F.min_by(seconds, at).alias("_head"), F.max_by(seconds, at).alias("_tail"))
+    along = W.partitionBy(*partition).orderBy("_piece")  # one row for each task
+    goes_on = F.col("_head").eqNullSafe(F.lag("_tail").over(along)) & F.lag(F.lit(True)).over(along).isNotNull()
+    pieces = pieces.withColumn("_on", F.when(goes_on, 1).otherwise(0))
+    own = F.col("_n") - F.col("_on")
+    pieces = pieces.withColumn("_before", F.sum(own).over(along.rowsBetween(W.unboundedPreceding, 0)) - own - F.col("_on"))
+    a, b = marked.alias("a"), pieces.alias("b")
+    same = F.col("a._piece") == F.col("b._piece")
+    for c in partition:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    numbered_runs = a.join(b, same).select("a.*", (F.col("_run") + F.col("_before")).alias("run"))
+    return numbered_runs.groupBy(*partition, "run", seconds).agg(F.count(F.lit(1)).alias("n"), F.min(order[0]).alias("first"))
 
 
 def slice_of(df: DataFrame, order: Sequence[str], skip: int, limit: int | None) -> DataFrame:
@@ -43,6 +59,14 @@ def slice_of(df: DataFrame, order: Sequence[str], skip: int, limit: int | None)
     return ordered if limit is None else ordered.limit(limit)
 
 
+def schedule(df: DataFrame, speed: float, seconds: str = "created_utc", unit: str = "due_s") -> DataFrame:
+    """df with due_s, the seconds after the start of a replay at which a record is sent: its distance from the first one over speed."""
+    if speed <= 0:
+        raise ValueError("speed must be positive")
+    first = df.agg(F.min(seconds).alias("t"))
+    return df.withColumn(unit, (F.col(seconds) - first.scalar()) / F.lit(float(speed)))
+
+
 def restamp(df: DataFrame, seconds: str = "created_utc") -> DataFrame:
     """df as if it were created now, with the distances between records kept."""
     top = df.agg(F.max(seconds).alias("t"))

@@ -20,10 +20,10 @@ from rivulet.streaming import sinks
 LATE_PIPELINES = ("sentiment", "trending", "reach")
 
 
-def scored(comments: DataFrame, settings: Settings, words: Mapping[str, Sequence[str]], model=None, version: str | None = None) -> DataFrame:
+def scored(comments: DataFrame, settings: Settings, words: Mapping[str, Sequence[str]], model=None, version: str | None = None, detector: Detector | None = None) -> DataFrame:
     """Valid raw comments to scored ones. The same plan serves a table and a stream."""
     stop = X.STOPWORDS if settings.remove_stopwords else ()
-    cleaned = parse.cleaned(comments, stopwords=stop, stem=settings.stem)
+    cleaned = parse.cleaned(comments, detector, stop, settings.stem)
     return score(keywords.tag(cleaned, words), model, version, settings.min_tokens)
 
 

@@ -67,3 +67,42 @@ def test_settings():
     assert s.keywords == ("apple", "tesla") and s.analytics_window_s == 60
     with pytest.raises(ValueError):
         Settings(window_s=0)
+
+
+def test_tracked_keywords_in_any_spelling(spark):
+    rows = [(" Apple ", ["Company", "fruit"]), ("Apple", ["x", "fruit", "no/slash"]), ("tesla", None), ("bad/one", ["y"]), (None, ["z"]), ("", None)]
+    table = spark.createDataFrame(rows, "keyword string, subkeywords array<string>")
+    got = K.tracked(table)
+    assert list(got) == ["apple", "tesla"] and sorted(got["apple"]) == ["company", "fruit", "x"] and got["tesla"] == []
+    assert K.tracked(table.where("false")) == {}
+
+
+def test_many_keywords_by_brute_force(spark):
+    """Whole-word search by pattern, one keyword after the other."""
+    import re
+
+    texts = ["C++ and c++11, node.js!", "Tim Cook ate .net5 at at-t", "tim  cook", "tim\ncook", "a b c", "x-y z", "#tag c# c#sharp", "éapple apple_ APPLE", "1 2 3 1.5", "b b b", "ß.net", "++ a++b", ""]
+    words = ["c++", "node.js", "tim cook", ".net", "at-t", "a b", "b", "x-y", "c#", "apple", "1.5", "++", "b b", "z", "cook"] + [f"word{i}" for i in range(3000)]
+
+    def edge(c: str, ahead: bool) -> str:
+        word = r"\w"
+        return (f"(?!{word})" if ahead else f"(?<!{word})") if re.match(word, c) else (f"(?={word})" if ahead else f"(?<={word})")
+
+    want = [sorted(k for k in words if re.search(edge(k[0], False) + re.escape(k) + edge(k[-1], True), t, re.I)) for t in texts]
+    df = spark.createDataFrame([(t, []) for t in texts], "cleaned_body string, tokens array<string>").coalesce(1)
+    got = [r["matched_keywords"] for r in K.tag(df, dict.fromkeys(words, [])).collect()]
+    assert got == want
+
+
+def test_senses_of_a_batch_are_those_of_each_list():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    vectors = {w: rng.normal(size=3).tolist() for w in "abcdefgh"} | {"zero": [0.0] * 3}
+    subs = {"k": ["a", "b", "q"], "m": ["c"], "n": ["zero", "d", "r", "e"], "o": ["q", "r"]}
+    lists = [[str(t) for t in rng.choice([*"abcdefghqrst", "zero"], int(rng.integers(0, 6)))] for _ in range(300)]
+    names = sorted(vectors)
+    got = K._sense_batch(lists, pd.Index(names), np.array([vectors[w] for w in names]), subs, 0.20, 0.05)
+    for k, listed in subs.items():
+        assert got[k].tolist() == [K.embedding_sense(ts, listed, vectors) for ts in lists]

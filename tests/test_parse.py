@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivulet.operators import parse
-from rivulet.operators.language import is_english
+from rivulet.operators import language
 
 BASE = {"id": "abc123", "author": "user1", "created_utc": 1554076812, "body": "Hello https://x.com world this is a test comment", "score": 42, "subreddit": "technology", "controversiality": 0}
 
@@ -45,9 +45,15 @@ def test_side_output_and_record(spark):
     assert "https" not in r["cleaned_body"] and r["tokens"][0] == "Hello" and r["language"] == "en"
 
 
-def test_english_gate(spark):
+@pytest.fixture(scope="module")
+def detector(spark, sf):
+    return language.train(spark.read.parquet(f"{sf}/language_samples.parquet"))
+
+
+def test_english_gate(spark, detector):
     texts = ["hi", "", "This is the best thing that I have seen all day", "Dit is een heel lange Nederlandse zin die niet Engels is", "Это предложение написано на русском языке"]
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(is_english(F.col("t"))).collect()]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(language.is_english(spark, F.col("t"), detector)).collect()]
     assert got == [True, True, True, False, False]
 
 
@@ -60,3 +66,18 @@ def test_dump(spark):
     got = parse.decode_dump(df, start=replay.DATE_START, end=replay.DATE_END).collect()
     assert sorted(r["id"] for r in got) == ["", "1", "2"]
     assert [r["score"] for r in got if r["id"] == ""] == [0]
+
+
+def test_detector(spark, detector, sf):
+    """Languages of sentences that it has not seen, and texts of which it knows nothing."""
+    samples = spark.read.parquet(f"{sf}/language_samples.parquet").collect()
+    half = language.train(spark.createDataFrame([(r["lang"], r["text"]) for r in samples if r["sample_id"] % 2], "lang string, text string"))
+    rest = [r for r in samples if r["sample_id"] % 2 == 0]
+    right = sum(a == r["lang"] for a, r in zip(half.detect([f" {r['text'].lower()} " for r in rest]), rest, strict=True))
+    assert right >= 0.97 * len(rest)
+    assert detector.detect(["", "  ", "漢字", " the end of the story "]) == [None, None, None, "en"] and detector.detect([]) == []
+    empty = spark.createDataFrame([(None, "x"), ("en", None), ("en", "12 34")], "lang string, text string")
+    with pytest.raises(ValueError):
+        language.train(empty)
+    df = spark.createDataFrame([("Dit is een heel lange Nederlandse zin",), (None,), ("x",)], "t string")
+    assert [r[0] for r in df.select(language.is_english(spark, F.col("t"), None)).collect()] == [True] * 3
