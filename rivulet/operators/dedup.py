@@ -7,19 +7,24 @@ bitmap for each 32,768 rows of a file, and the wide rows are then read once and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.session import cut
+from rivulet.session import children, cut, scratch
 
 NO_IDS = ("", "None")
-#: A side is broadcast only if its rows, at this many bytes each, stay below the bound.
+#: A side is broadcast only if its rows stay below the bound.
 BROADCAST_BYTES = 64 << 20
-_WINNER_BYTES = 128
+_ROW_BYTES = 96  # of a row beside its identifier, in a hash table
 _VECTOR_BYTES = 4096 + 64
+#: Rows of a file that one vector covers (the size of the built-in bitmaps).
+ROWS = 32_768
 
 
 @dataclass(frozen=True)
@@ -42,7 +47,8 @@ class DedupPlan:
             "_id", "_file", "_row"
         )
         winners = self.repeated.select("_id", F.col("_w._file").alias("_wf"), F.col("_w._row").alias("_wr"))
-        if winners.count() * _WINNER_BYTES <= BROADCAST_BYTES:
+        size = winners.agg(F.sum(F.octet_length(F.col("_id").cast("string")) + _ROW_BYTES)).first()[0] or 0
+        if size <= BROADCAST_BYTES:
             winners = F.broadcast(winners)
         losers = narrow.join(winners, "_id").where(~((F.col("_file") == F.col("_wf")) & (F.col("_row") == F.col("_wr"))))
         at = F.col("_row") + 1
@@ -53,40 +59,16 @@ class DedupPlan:
     def apply(self, columns: list[str] | None = None, bound: int = BROADCAST_BYTES) -> DataFrame:
         """The whole table without the losing copies. The wide columns are read once and never shuffled.
 
-        The vectors are broadcast while they stay within the bound; beyond it the files are read in groups, each joined
-        with the broadcast vectors of its own files, which again stay within the bound.
+        The vectors are broadcast while they stay within the bound. Beyond it they are written to the shared folder, one
+        part for each file, and every task loads those of the file that it reads; nothing of them passes the driver.
         """
         whole = self.spark.read.parquet(self.path)
         keep = columns or whole.columns
         vectors = cut(self.vectors())
-        per_file = vectors.groupBy("_file").agg(F.count(F.lit(1)).alias("n"))
         total = vectors.count()
         if total == 0:
             return whole.select(*keep)
-        if total * _VECTOR_BYTES <= bound:
-            return _without(whole, vectors, keep)
-        sizes = {r["_file"]: r["n"] for r in per_file.toLocalIterator()}  # as long as the list of files at most
-        # no column is read for this, only the files' footers; the paths are those that the keys were made of
-        paths = sorted(r[0] for r in whole.select(F.col("_metadata.file_path")).distinct().toLocalIterator())
-        if missing := set(sizes) - set(map(_file_key_of, paths)):
-            raise RuntimeError(f"{len(missing)} files with deletions are not found among those read")
-        groups, room = [[]], bound // _VECTOR_BYTES
-        for f in paths:
-            need = sizes.get(_file_key_of(f), 0)
-            if groups[-1] and need > room:
-                groups.append([])
-                room = bound // _VECTOR_BYTES
-            groups[-1].append(f)
-            room -= need
-        parts = []
-        for files in groups:
-            read = self.spark.read.schema(whole.schema).parquet(*files)
-            keys = [k for k in map(_file_key_of, files) if k in sizes]
-            parts.append(_without(read, vectors.where(F.col("_file").isin(keys)), keep) if keys else read.select(*keep))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return _without(whole, vectors, keep) if total * _VECTOR_BYTES <= bound else _without_written(whole, vectors, keep)
 
 
 def _file_key(path: Column) -> Column:
@@ -126,6 +108,56 @@ def _without(df: DataFrame, vectors: DataFrame, keep: list[str]) -> DataFrame:
     return joined.where(F.col("_bits").isNull() | ~gone).select("_wide.*")
 
 
+def _without_written(df: DataFrame, vectors: DataFrame, keep: list[str]) -> DataFrame:
+    """As _without, with the vectors of each file in a folder of its own under the shared folder."""
+    spark = df.sparkSession
+    folder = scratch(spark, "vectors")
+    vectors.repartition("_file").write.partitionBy("_file").parquet(folder)
+    sent = spark.sparkContext.broadcast(sorted(int(n.partition("=")[2]) for n in children(spark, folder) if n.startswith("_file=")))  # a number for each file
+
+    @F.pandas_udf("boolean")
+    def stays(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known, loaded = set(sent.value), {}
+        for files, rows in batches:
+            out = np.ones(len(rows), bool)
+            for f in files.unique():
+                if f not in known:
+                    continue
+                if f not in loaded:
+                    loaded.clear()  # a task reads one file after the other
+                    loaded[f] = _load(f"{folder}/_file={f}")
+                at = np.flatnonzero((files == f).to_numpy())
+                out[at] = ~_deleted(loaded[f], rows.to_numpy()[at])
+            yield pd.Series(out)
+
+    wide = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_wide"),
+        _file_key(F.col("_metadata.file_path")).alias("_file"),
+        F.col("_metadata.row_index").alias("_row"),
+    )
+    return wide.where(stays("_file", "_row")).select("_wide.*")
+
+
+def _load(folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the vectors in a folder, sorted, and their bits, one row of 4,096 bytes each."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    source, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    t = ds.dataset(path, filesystem=source, format="parquet").to_table(columns=["_bucket", "_bits"])
+    bucket = t.column("_bucket").to_numpy()
+    bits = np.frombuffer(b"".join(t.column("_bits").to_pylist()), np.uint8).reshape(len(bucket), -1)
+    order = np.argsort(bucket)
+    return bucket[order], bits[order]
+
+
+def _deleted(vectors: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    bucket, bits = vectors
+    number, bit = rows // ROWS + 1, rows % ROWS
+    at = np.minimum(np.searchsorted(bucket, number), len(bucket) - 1)
+    return (bucket[at] == number) & ((bits[at, bit // 8] >> (bit % 8)) & 1 == 1)
+
+
 def dedup_plan(
     spark: SparkSession,
     path: str,

@@ -78,6 +78,25 @@ def panes(judged: DataFrame, keys: Sequence[str], values: dict[str, Column]) ->
     )
 
 
+def past_panes(judged: DataFrame, keys: Sequence[str], part: Sequence[Column], row: Sequence[str]) -> DataFrame:
+    """Panes in parts, each with what it counted and what it turned away: (keys, pane_start, pane_end, part, n, n_late, n_past, past).
+
+    past lists the columns of row of the rows past the cut-off. part numbers the parts of a pane; it has to bound the rows
+    that one of them can hold. Parts are combined before the shuffle, in which rows within the cut-off are only numbers.
+    """
+    within, past = F.col("status").isin(ON_TIME, LATE), F.col("status") == PAST
+    return (
+        judged.where(F.col("status").isNotNull())
+        .groupBy(*keys, "pane_start", "pane_end", F.struct(*part).alias("part"))
+        .agg(
+            F.count(F.when(within, 1)).alias("n"),
+            F.count(F.when(F.col("status") == LATE, 1)).alias("n_late"),
+            F.count(F.when(past, 1)).alias("n_past"),
+            F.collect_list(F.when(past, F.struct(*row))).alias("past"),
+        )
+    )
+
+
 def covering_windows(pane_start: Column, pane_end: Column, size: int, slide: int) -> Column:
     """The starts of all windows that cover the pane."""
     last = F.floor(pane_start / slide) * slide

@@ -26,18 +26,16 @@ def p2_comments(spark: SparkSession, d: str) -> DataFrame:
     return dedup.dedup_plan(spark, table_path(d, "reddit_comments")).apply()
 
 
-_CLEANED = [
-    "id", "author", "created_utc", "subreddit", "original_body", "cleaned_body", "score", "controversiality", "language",
-    "sentiment_label", "sentiment_score", "sentiment_model", "sentiment_status", "kafka_partition", "kafka_offset", "ingest_ts",
-]
-
-
 def p2_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.dedup_plan(spark, table_path(d, "reddit_comments_cleaned")).apply(_CLEANED)
+    """All columns of the deduplicated table; lists and maps are given as text, so that SQL can state them."""
+    out = dedup.dedup_plan(spark, table_path(d, "reddit_comments_cleaned")).apply()
+    senses = F.transform(F.array_sort(F.map_entries("keyword_senses")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    as_text = {c: F.array_join(F.col(c), "|", "<null>") for c in ("tokens", "matched_keywords")}
+    return out.withColumns({**as_text, "keyword_senses": F.array_join(senses, "|")})
 
 
 def p2_cleaned_whole(spark: SparkSession, d: str) -> DataFrame:
-    """p2_cleaned with every column of the table, tokens, matched_keywords and keyword_senses among them."""
+    """p2_cleaned with lists and maps as they are."""
     return dedup.dedup_plan(spark, table_path(d, "reddit_comments_cleaned")).apply()
 
 
@@ -104,14 +102,16 @@ def judged_windows(spark: SparkSession, d: str, *more: str) -> DataFrame:
     return panes.judge(first, F.col("window_end"), F.col("ingest_ts"), 300, CUTOFF_S, ends=True)
 
 
+def _past(judged: DataFrame, topic: str) -> DataFrame:
+    """The rows that panes turned away. A part of a pane spans 65,536 offsets of a partition."""
+    part = [F.col("kafka_partition"), F.floor(F.col("kafka_offset") / 65_536)]
+    parts = panes.past_panes(judged, [], part, ["kafka_partition", "kafka_offset"])
+    return parts.where("n_past > 0").select(F.lit(topic).alias("topic"), F.inline("past"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Rows past the cut-off of their pane."""
-    cols = ["kafka_partition", "kafka_offset"]
-    past = F.col("status") == panes.PAST
-    return (
-        judged_comments(spark, d).where(past).select(F.lit("reddit_comments").alias("topic"), *cols)
-        .unionByName(judged_windows(spark, d).where(past).select(F.lit("analytics_results").alias("topic"), *cols))
-    )
+    """Rows past the cut-off, as their panes turned them away."""
+    return _past(judged_comments(spark, d), "reddit_comments").unionByName(_past(judged_windows(spark, d), "analytics_results"))
 
 
 def p4_hours(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +195,10 @@ SQL = {
         for t in ("reddit_comments", "reddit_comments_cleaned")
     ),
     "p2_comments": _dedup_sql("reddit_comments", "*"),
-    "p2_cleaned": _dedup_sql("reddit_comments_cleaned", ", ".join(_CLEANED)),
+    "p2_cleaned": _dedup_sql("reddit_comments_cleaned", """* REPLACE (
+      array_to_string(list_transform(tokens, lambda x: coalesce(x, '<null>')), '|') AS tokens,
+      array_to_string(list_transform(matched_keywords, lambda x: coalesce(x, '<null>')), '|') AS matched_keywords,
+      array_to_string(list_transform(list_sort(map_entries(keyword_senses)), lambda e: e.key || '=' || e.value), '|') AS keyword_senses)"""),
     "p3_found": " UNION ALL ".join(
         f"SELECT '{k}' AS field, {k} AS key FROM {t} WHERE {k} <> '' GROUP BY {k} HAVING count(*) >= 0.05 * (SELECT count(*) FROM {t})"
         for t, k in (("reddit_comments", "subreddit"), ("sentiment_results", "keyword"))
