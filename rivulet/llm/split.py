@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.tokens import NAME, TOKENIZERS, _arrow_type, encoder
+from rivulet.llm.tokens import NAME, TOKENIZERS, _arrow_type, encode_text, encoder
 
 #: From the coarsest separator to the finest; a cut is made after the match. Below words, cuts are made between characters.
 SEPARATORS = (
@@ -115,7 +115,7 @@ def split_text(text: str, enc, lengths: np.ndarray, limit: int, overlap: int) ->
     The text is cut by the coarsest separator, and parts that are still too long by the next; neighbouring parts are then
     packed up to the limit. The tokens of every piece are counted as encoded by itself. The pieces cover the whole text.
     """
-    ids = enc.encode_ordinary(text)
+    ids = encode_text(enc, text)
     if len(ids) <= limit:
         return None
     m = _Measured(text, ids, lengths)

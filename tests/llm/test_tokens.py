@@ -97,3 +97,12 @@ def test_split_shares_about_the_overlap_and_cuts_at_sentences(spark):
     assert len(pairs) > 5 and all(40 <= n <= 90 for n in shared)
     at_stops = [docs[a["doc_id"]][: a["end"]].rstrip()[-1] in ".!?" for a, _ in pairs]
     assert sum(at_stops) >= 0.9 * len(pairs)  # the rest end behind a title, which is a line of its own
+
+
+@pytest.mark.parametrize("size", [1, 7, 100])
+def test_stretches_are_encoded_alike(size):
+    enc = tokens.encoder()[0]
+    for t in [*filter(None, texts()), *filter(None, documents()), "a b", " ", "x\n \n y  z"]:
+        parts = list(tokens.stretches(t, size))
+        assert "".join(parts) == t
+        assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(t)
