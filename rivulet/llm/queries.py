@@ -35,16 +35,15 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
-def _author_registers(spark: SparkSession, d: str) -> DataFrame:
-    """Registers by day, subreddit and keyword; rows without a keyword stand under a null one."""
+def _author_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Authors by day, subreddit and keyword; rows without a keyword stand under a null one."""
     df = table(spark, d, "reddit_comments_cleaned").where(~F.col("author").isin(*NO_AUTHORS))
-    rows = df.select(
+    return df.select(
         F.to_date(F.timestamp_seconds("created_utc")).alias("day"),
         "subreddit",
         F.explode_outer("matched_keywords").alias("keyword"),
         "author",
     )
-    return distinct.registers(rows, ["day", "subreddit", "keyword"], "author")
 
 
 #: A segment counts as written in its language from this confidence and so many words on.
@@ -107,15 +106,14 @@ _KEYS = ["day", "subreddit", "keyword"]
 
 def p6_authors(spark: SparkSession, d: str) -> DataFrame:
     """Distinct authors of each day, subreddit and keyword and of every combination of these, with three-sigma bounds."""
-    parts = _author_registers(spark, d)
-    whole = distinct.combine(parts, _KEYS, {"keyword": F.col("keyword").isNotNull()})
-    return distinct.estimate(whole, ["level", *_KEYS])
+    whole = distinct.cube(_author_rows(spark, d), _KEYS, "author", {"keyword": F.col("keyword").isNotNull()})
+    return distinct.estimate_packed(whole, ["level", *_KEYS])
 
 
 def p6_published(spark: SparkSession, d: str) -> DataFrame:
     """Distinct authors by keyword and day beside the published reach: its windows, their sum and their largest value."""
-    mine = _author_registers(spark, d).where(F.col("keyword").isNotNull())
-    mine = distinct.estimate(distinct.merge(mine, ["day", "keyword"]), ["day", "keyword"])
+    rows = _author_rows(spark, d).where(F.col("keyword").isNotNull())
+    mine = distinct.estimate_packed(distinct.cube(rows, ["day", "keyword"], "author", sets=[["day", "keyword"]]), ["day", "keyword"])
     published = (
         table(spark, d, "analytics_results")
         .where((F.col("type") == "reach") & F.col("keyword").isNotNull())
@@ -132,11 +130,7 @@ def p6_published(spark: SparkSession, d: str) -> DataFrame:
 def p6_bounds(spark: SparkSession, d: str) -> DataFrame:
     """By level, how many groups there are and how many have their exact count within the three-sigma bounds or two of the estimate."""
     got = p6_authors(spark, d)
-    rows = (
-        table(spark, d, "reddit_comments_cleaned")
-        .where(~F.col("author").isin(*NO_AUTHORS))
-        .select(F.to_date(F.timestamp_seconds("created_utc")).alias("day"), "subreddit", F.explode_outer("matched_keywords").alias("keyword"), "author")
-    )
+    rows = _author_rows(spark, d)
     kw = F.col("keyword").isNotNull()
     exact = None
     for level, keys, fits in (("day", ["day"], None), ("subreddit", ["subreddit"], None), ("keyword", ["keyword"], kw), ("day+subreddit", ["day", "subreddit"], None), ("day+keyword", ["day", "keyword"], kw), ("subreddit+keyword", ["subreddit", "keyword"], kw), ("day+subreddit+keyword", _KEYS, kw), ("all", [], None)):

@@ -108,3 +108,37 @@ def test_registers_round_trip_and_estimator_is_unbiased(spark):
         a, b = distinct.likelihood_terms(v, c.astype(float), np.zeros(len(v), int), 1, p)
         errors.append(distinct.solve(a, b, p)[0] / n - 1)
     assert abs(np.mean(errors)) < 3 * distinct.std_error(p) / 60**0.5 and np.std(errors) < 1.35 * distinct.std_error(p)
+
+
+def _rows_of(sketches):
+    return {tuple(r[c] for c in sketches.columns[:-1]): sorted(r["sketch"]) for r in sketches.collect()}
+
+
+def test_packed_combinations_hold_the_same_registers(spark, monkeypatch):
+    monkeypatch.setattr(distinct, "HELD", 700)
+    df = spark.range(5000).select(
+        F.concat(F.lit("u"), F.col("id") % 900).alias("author"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("k"),
+        F.when(F.col("id") % 5 > 0, F.col("id") % 7).alias("day"), F.lit("clash").alias("sketch"), F.lit(1).alias("level"),
+    ).repartition(5)
+    df = df.unionByName(df.limit(40).withColumn("author", F.lit(None).cast("string")))
+    known = {"k": F.col("k").isNotNull()}
+    got = _rows_of(distinct.cube(df, ["k", "day"], "author", known))
+    parts = distinct.combine(distinct.registers(df, ["k", "day"], "author"), ["k", "day"], known)
+    want: dict = {}
+    for r in parts.collect():
+        want.setdefault((r["level"], r["k"], r["day"]), []).append(r["idx"] * 256 + r["register"])
+    assert got == {k: sorted(v) for k, v in want.items()}
+    a = {tuple(r[:3]): r[3:] for r in distinct.estimate(parts, ["level", "k", "day"]).collect()}
+    b = {tuple(r[:3]): r[3:] for r in distinct.estimate_packed(distinct.cube(df, ["k", "day"], "author", known), ["level", "k", "day"]).collect()}
+    assert a == b
+    assert distinct.cube(df.where("false"), ["k"], "author").count() == 0
+    one = distinct.cube(df, ["k"], "author", sets=[["k"]])
+    assert {r[0] for r in one.select("level").distinct().collect()} == {"k"} and one.count() == 3
+
+
+def test_packing_by_arrays():
+    bits = np.array([1, 2, 3, 0b1011, 1 << 41, (1 << 41) - 1, (1 << 60) | (1 << 59), (1 << 60) - 1], np.uint64)
+    packed = distinct._pack(bits)
+    tops = [int(b).bit_length() - 1 for b in bits]
+    assert packed.tolist() == [4 * (t + 1) + 2 * (int(b) >> (t - 1) & 1 if t >= 1 else 0) + (int(b) >> (t - 2) & 1 if t >= 2 else 0) for t, b in zip(tops, bits)]
+    assert (distinct._pack(distinct._unpack(packed)) == packed).all()
