@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Settings:
+    """Topics and defaults are fixed values."""
+
     bootstrap: str = "localhost:9092"
     raw_topic: str = "reddit-comments"
     cleaned_topic: str = "reddit-comments-cleaned"
@@ -28,8 +30,11 @@ class Settings:
     trending_min_count: int = 2
     trending_k: int = 20
     trending_stopwords: str | None = None
+    output: str = "file"
 
     def __post_init__(self):
+        if self.output not in ("file", "kafka"):
+            raise ValueError("output must be file or kafka")
         for name in ("window_s", "analytics_window_s", "late_window_s"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
@@ -51,6 +56,7 @@ class Settings:
             stem=flag("STEM"),
             trending_min_terms=int(e.get("TRENDING_MIN_TOKENS", 30)),
             trending_min_count=int(e.get("TRENDING_MIN_COUNT", 2)),
+            output=e.get("OUTPUT_SINK", "file"),
             trending_stopwords=e.get("TRENDING_STOPWORDS_FILE") or None,
         )
 

@@ -212,8 +212,8 @@ class Store:
 class Retrainer:
     """Counts labelled records and retrains after every so many; 0 never does."""
 
-    def __init__(self, store: Store, every: int = 5000, features: str = "tfidf", min_tokens: int = 1):
-        self.store, self.every, self.features, self.min_tokens, self.seen = store, every, features, min_tokens, 0
+    def __init__(self, store: Store, every: int = 5000, features: str = "tfidf", min_tokens: int = 1, **how):
+        self.store, self.every, self.features, self.min_tokens, self.how, self.seen = store, every, features, min_tokens, how, 0
 
     def add(self, n: int) -> bool:
         self.seen += n
@@ -225,7 +225,7 @@ class Retrainer:
     def cycle(self, corpus: DataFrame) -> str:
         """Load, train, evaluate on the held-out part, save. The version is returned."""
         train, rest = split(dataset(corpus, self.min_tokens))
-        model = fit(train, self.features)
+        model = fit(train, self.features, **self.how)
         scores = macro(evaluation(model.transform(rest))).first()
         return self.store.save(model, {"features": self.features, **scores.asDict()})
 

@@ -13,9 +13,13 @@ MAX_ROWS = 2_000_000
 
 
 def train(comments: DataFrame, max_rows: int = MAX_ROWS, size: int = 100, min_count: int = 5, epochs: int = 5, partitions: int = 4, seed: int = 42) -> Word2VecModel:
-    """Vectors of the lower-cased tokens of at most max_rows comments."""
+    """Vectors of the lower-cased tokens of about max_rows comments at most, chosen by a hash."""
     tokens = F.filter(F.transform("tokens", lambda t: F.lower(F.trim(t))), lambda t: t != "")
-    df = comments.select(tokens.alias("tokens")).where(F.size("tokens") > 0).limit(max_rows)
+    df = comments.select(tokens.alias("tokens")).where(F.size("tokens") > 0)
+    n = df.count()
+    if n > max_rows:  # a sample spread over the whole table, by a hash of the row
+        h = F.xxhash64(F.lit(seed), "tokens").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+        df = df.where(h < max_rows / n)
     return Word2Vec(inputCol="tokens", outputCol="v", vectorSize=size, minCount=min_count, maxIter=epochs, numPartitions=partitions, seed=seed).fit(df)
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from rivulet.functions import text as X
 from rivulet.operators.windows import bucket
+from rivulet.schemas import REQUIRED
+from rivulet.sources.replay import DATE_END, DATE_START
 
 #: How much of each keyword the views keep (fixed values).
 MAX_WINDOWS, MAX_REACH, MAX_TRENDING, MAX_COMMENTS = 500, 200, 8, 100
@@ -360,3 +362,31 @@ def comments_of_senses(comments: DataFrame, keywords: Sequence[str], senses: dic
         return ok
 
     return comments.where(F.exists("matched_keywords", fits))
+
+
+_EMOJI = r"[\x{1F300}-\x{1FAFF}]"
+
+
+def _checks(records: DataFrame, topic: str, required: Sequence[str], dates: Column, bodies: Column, tokens: Column, lost: Column) -> DataFrame:
+    """(topic, n, n_missing, n_dates, n_bodies, n_tokens, n_lost): how many JSON records of a topic break each rule."""
+    missing = F.size(F.array_except(F.array(*map(F.lit, required)), F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")))) > 0
+    n = lambda c: F.count(F.when(F.coalesce(c, F.lit(True)), 1))
+    return records.agg(
+        F.lit(topic).alias("topic"), F.count(F.lit(1)).alias("n"), n(missing).alias("n_missing"), n(dates).alias("n_dates"),
+        n(bodies).alias("n_bodies"), n(tokens).alias("n_tokens"), n(lost).alias("n_lost"),
+    )
+
+
+def raw_checks(lines: DataFrame) -> DataFrame:
+    """Rules of the raw topic: all fields, dates within the replay, a body that is neither empty nor deleted."""
+    field = lambda k: F.get_json_object("value", f"$.{k}")
+    dates = ~field("created_utc").cast("bigint").between(DATE_START, DATE_END)
+    return _checks(lines, "raw", REQUIRED, dates, field("body").isin("", "[deleted]", "[removed]"), F.lit(False), F.lit(False))
+
+
+def cleaned_checks(lines: DataFrame) -> DataFrame:
+    """Rules of the cleaned topic: all fields, a date, a body, tokens as a list, and no text that lost its emoji."""
+    field = lambda k: F.get_json_object("value", f"$.{k}")
+    lost = F.coalesce(field("original_body").rlike(_EMOJI) & ~field("cleaned_body").rlike(_EMOJI), F.lit(False))
+    required = ["id", "created_utc", "subreddit", "original_body", "cleaned_body", "tokens", "score", "controversiality"]
+    return _checks(lines, "cleaned", required, field("created_utc").isNull(), field("original_body") == "", ~F.startswith(field("tokens"), F.lit("[")), lost)

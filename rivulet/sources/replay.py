@@ -19,6 +19,20 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumn("file", F.input_file_name())
 
 
+#: Records of a made-up dump: id, seconds after DATE_START, body. The b ones are to be filtered out.
+SAMPLE = [
+    ("a1", 0, "This phone is 🔥"), ("a2", 0, "Party 🎉 tonight"), ("a3", 60, "Perfect score 💯"), ("a4", 120, "A plain comment"),
+    ("b1", -86_400, "Before the range"), ("b2", 30, "[deleted]"), ("b3", 40, "[removed]"), ("b4", DATE_END - DATE_START + 86_400, "Behind the range"),
+]
+
+
+def sample_lines(spark: SparkSession) -> DataFrame:
+    """Eight records as JSON lines, four of which lie in the dates and have a body."""
+    rows = [(i, "tester", DATE_START + t, body, 1, "technology", 0) for i, t, body in SAMPLE]
+    df = spark.createDataFrame(rows, "id string, author string, created_utc bigint, body string, score bigint, subreddit string, controversiality bigint")
+    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with line, a number that grows along each file and from file to file."""
     return df.withColumn("line", F.monotonically_increasing_id())

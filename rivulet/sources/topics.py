@@ -56,10 +56,14 @@ def corpus(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def synthetic(spark: SparkSession, rows_per_second: int, keywords: list[str], seed: int = 1) -> DataFrame:
     """Made-up sentiment windows, without end, for demonstrations."""
-    rate = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    return synthetic_windows(spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load(), keywords, seed)
+
+
+def synthetic_windows(ticks: DataFrame, keywords: list[str], seed: int = 1) -> DataFrame:
+    """A window of a minute for each row of ticks (timestamp, value), which can be a stream."""
     names = F.array(*map(F.lit, keywords))
     h = F.xxhash64(F.lit(seed), "value")
-    return rate.select(
+    return ticks.select(
         F.element_at(names, (F.pmod(h, F.lit(len(keywords))) + 1).cast("int")).alias("keyword"),
         (F.unix_timestamp("timestamp") - 60).alias("window_start"),
         F.unix_timestamp("timestamp").alias("window_end"),

@@ -14,7 +14,9 @@ from rivulet.functions import text as X
 from rivulet.ml import lexicon
 from rivulet.ml.model import Retrainer, Store, score
 from rivulet.operators import keywords, parse, trending, windows
+from rivulet.operators.language import Detector
 from rivulet.schemas import LIVE_CORPUS
+from rivulet.session import exists, remove
 from rivulet.streaming import sinks
 
 LATE_PIPELINES = ("sentiment", "trending", "reach")
@@ -89,10 +91,9 @@ class LateCounter:
     stopwords: Sequence[str] = tuple(trending.STOPWORDS)
 
     def watermark(self, batch_id: int) -> int | None:
-        try:
-            seen = self.spark.read.parquet(f"{self.folder}/seen")
-        except Exception:  # noqa: BLE001 - nothing has been written yet
+        if not exists(self.spark, f"{self.folder}/seen"):  # any other failure makes the micro-batch fail, and come again
             return None
+        seen = self.spark.read.parquet(f"{self.folder}/seen")
         top = seen.where(F.col("batch") < batch_id).agg(F.max("top").alias("t")).first()["t"]
         return None if top is None else top - self.delay_s
 
@@ -113,7 +114,7 @@ class LateCounter:
 
 @dataclass
 class Job:
-    """All queries of the job over one stream of JSON comments, with files as sinks under root.
+    """All queries of the job over one stream of JSON comments, with files under root as sinks, and topics beside them if settings say so.
 
     Each micro-batch reads the tracked keywords and the latest model again, and keeps the last good ones where that fails.
     """
@@ -123,23 +124,34 @@ class Job:
     root: str
     registry: keywords.Registry | None = None
     store: Store | None = None
+    detector: Detector | None = None
+    report: Callable[[str], None] = print
+    _model: object = None
+    _version: str | None = None
 
     def words(self) -> dict[str, list[str]]:
         found = self.registry.load() if self.registry else {}
         return found or {k: self.settings.subkeywords.get(k, []) for k in self.settings.keywords}
 
     def model(self):
-        latest = self.store.latest() if self.store else None
-        if latest is None:
-            return None, None
-        if getattr(self, "_version", None) != latest:
-            self._model, self._version = self.store.load(latest)
+        """The latest model; the last good one where there is no pointer to one, or the one pointed to cannot be loaded."""
+        try:
+            latest = self.store.latest() if self.store else None
+            if latest is not None and latest != self._version:
+                self._model, self._version = self.store.load(latest)
+        except Exception as e:  # noqa: BLE001 - whatever hinders it, scoring goes on
+            self.report(f"model not loaded: {e}")
         return self._model, self._version
 
+    def _put(self, df: DataFrame, name: str, topic: str, batch_id: int, key: str | None = None) -> None:
+        if self.settings.output == "kafka":
+            sinks.kafka_batch(df, self.settings.bootstrap, topic, key)
+        sinks.put_batch(df, f"{self.root}/{name}", batch_id)
+
     def _batch(self, df: DataFrame, batch_id: int) -> None:
-        parsed = parse.parse(df)
-        sinks.put_batch(parse.malformed(parsed, F.unix_millis("ingest_ts")), f"{self.root}/malformed", batch_id)
-        sinks.put_batch(scored(parse.valid(parsed), self.settings, self.words(), *self.model()), f"{self.root}/cleaned", batch_id)
+        parsed, s = parse.parse(df), self.settings
+        self._put(parse.malformed(parsed, F.unix_millis("ingest_ts")), "malformed", s.malformed_topic, batch_id)
+        self._put(scored(parse.valid(parsed), s, self.words(), *self.model(), self.detector), "cleaned", s.cleaned_topic, batch_id, "id")
 
     def start_cleaning(self, lines: DataFrame, **trigger):
         """Raw lines to the cleaned and the malformed table."""
@@ -156,7 +168,7 @@ class Job:
         df = with_watermark(cleaned.where(F.col("created_utc").isNotNull()), s)
         stop = trending.load_stopwords(s.trending_stopwords)
         point = lambda name: f"{root}/_checkpoints/{name}"
-        put = lambda name: lambda out, n: sinks.put_batch(out, f"{root}/{name}", n)
+        put = lambda name: lambda out, n: self._put(out, name, s.results_topic if name == "sentiment" else s.analytics_topic, n, "keyword")
         jobs = [
             sentiment(df, s.window_s).writeStream.outputMode("append").foreachBatch(put("sentiment")).option("checkpointLocation", point("sentiment")),
             reach(df, s.analytics_window_s).writeStream.outputMode("append").foreachBatch(put("reach")).option("checkpointLocation", point("reach")),
@@ -168,9 +180,8 @@ class Job:
 
     def reset(self) -> None:
         """Forget everything that was written, checkpoints included, to replay from the beginning."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.root)
+        self._model, self._version = None, None
 
 
 @dataclass

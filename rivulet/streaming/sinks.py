@@ -18,6 +18,12 @@ def to_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str, key: str
     return writer.option("kafka.compression.type", "lz4").option("kafka.linger.ms", "50").option("checkpointLocation", checkpoint)
 
 
+def kafka_batch(df: DataFrame, servers: str, topic: str, key: str | None = None) -> None:
+    """The rows of a micro-batch to a topic; one that comes again sends them again."""
+    out = as_json(df, key).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+    out.option("kafka.compression.type", "lz4").option("kafka.linger.ms", "50").save()
+
+
 def to_files(df: DataFrame, folder: str, checkpoint: str, kind: str = "json") -> DataStreamWriter:
     writer = df.writeStream.format(kind).option("path", folder).option("checkpointLocation", checkpoint)
     return writer.option("ignoreNullFields", "false") if kind == "json" else writer
