@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.config import parse_subkeywords
 from rivulet.functions import sketches
 from rivulet.functions import text as X
 from rivulet.operators import countmin, keywords, language, late, parse, trending, windows
 from rivulet.plans.stated import LANGUAGE, STOP, WORD, clean, has_word, listed, strip, tokens
 from rivulet.schemas import RAW
-from rivulet.session import table
+from rivulet.session import scratch, table
 from rivulet.sources import replay
 
 POS = ["kafka_partition", "kafka_offset"]
@@ -98,6 +99,49 @@ def tag_comments(spark: SparkSession, d: str) -> DataFrame:
     return tagged.select(*POS, F.array_join("matched_keywords", "|").alias("matched"), F.array_join(senses, "|").alias("senses"))
 
 
+def keyword_set(spark: SparkSession, d: str) -> DataFrame:
+    """Tracked keywords in normal form with their sub-keywords, as the registry gives them after changes by hand."""
+    registry = keywords.Registry(spark, scratch(spark, "registry"))
+    for k, subs in keywords.tracked(table(spark, d, "tracked_keywords")).items():
+        registry.last[k] = subs
+    registry.set_subkeywords(" New Word ", ["B", "a", "b "])
+    registry.add("Zebra")
+    registry.remove(" ANCHOR")
+    found = keywords.Registry(spark, registry.path).load()
+    return spark.createDataFrame([(k, "|".join(s)) for k, s in found.items()], "keyword string, subkeywords string")
+
+
+def keyword_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each token could be a tracked keyword."""
+    tokens = _cleaned(spark, d).select(F.explode("tokens").alias("token")).distinct()
+    return tokens.select("token", keywords.valid_keyword(F.col("token")).alias("valid"))
+
+
+def subkeyword_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of sub-keywords in normal form, null where one of them is invalid; the same from the text form of settings."""
+    df = table(spark, d, "tracked_keywords")
+    own = df.select("keyword", F.array_join(keywords.clean_list(F.col("subkeywords")), "|").alias("words"), F.lit("list").alias("origin"))
+    text = ";".join(f" {r['keyword'].upper()} : {', '.join(r['subkeywords'])},," for r in df.where("subkeywords IS NOT NULL").collect())
+    parsed = parse_subkeywords(f"bad;:x;y:;{text}")
+    return own.unionByName(spark.createDataFrame([(k, "|".join(v), "text") for k, v in parsed.items()], "keyword string, words string, origin string"))
+
+
+def _token_vectors(spark: SparkSession, d: str) -> dict[str, list[float]]:
+    """Vectors for the tokens met five times, an example of a vocabulary: that of number 7 * code + length among the embeddings."""
+    words = _cleaned(spark, d).select(F.explode("tokens").alias("t")).groupBy(F.lower("t").alias("word")).agg(F.count(F.lit(1)).alias("n")).where("n >= 5 AND word <> ''")
+    at = words.select("word", ((7 * F.ascii("word") + F.length("word")) % 400).cast("bigint").alias("vec_id"))
+    rows = at.join(table(spark, d, "embeddings"), "vec_id").select("word", "embedding").collect()
+    return {r["word"]: [float(x) for x in r["embedding"]] for r in rows}
+
+
+def embedding_senses(spark: SparkSession, d: str) -> DataFrame:
+    """Senses of the keywords with sub-keywords by word vectors, and the tags of comments that they give."""
+    words = keywords.tracked(table(spark, d, "tracked_keywords"))
+    tagged = keywords.tag(_cleaned(spark, d).drop("matched_keywords", "keyword_senses"), words, {}, _token_vectors(spark, d))
+    senses = F.transform(F.array_sort(F.map_entries("keyword_senses")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return tagged.where(F.size("keyword_senses") > 0).select(*POS, F.array_join(senses, "|").alias("senses"))
+
+
 def keyword_fanout(spark: SparkSession, d: str) -> DataFrame:
     return windows.keyword_rows(_cleaned(spark, d), *POS)
 
@@ -218,7 +262,8 @@ QUERIES = {
         sentiment_windows, sentiment_minutes, reach_windows, reach_merged, trending_terms, trending_windows, trending_weighted,
         trending_counters, zipf_words, sketch_bounds, top_keywords, late_drops,
         parse_valid, parse_errors, parse_rejected, malformed_counts, clean_bodies, token_lists, tokens_without_stopwords,
-        clean_lower, detected_languages, english_gate, cleaned_comments, tag_comments, keyword_fanout, language_breakdown, label_counts, replay_range,
+        clean_lower, detected_languages, english_gate, cleaned_comments, tag_comments, keyword_set, keyword_validity,
+        subkeyword_lists, embedding_senses, keyword_fanout, language_breakdown, label_counts, replay_range,
         replay_groups, replay_slice,
     )
 }
@@ -265,6 +310,14 @@ def _sense_sql(k: str) -> str:
     return f"CASE WHEN ({x}) > ({y}) THEN '{a}' WHEN ({y}) > ({x}) THEN '{b}' ELSE 'ambiguous' END"
 
 
+#: m: (kafka_partition, kafka_offset, text, keyword) of every tracked keyword in a comment; single words are found by equality.
+_MATCHED = f"""k AS (SELECT lower(trim(keyword)) AS keyword, subkeywords FROM tracked_keywords),
+    t AS (SELECT kafka_partition, kafka_offset, coalesce(nullif(cleaned_body, ''), array_to_string(tokens, ' '), '') AS text FROM reddit_comments_cleaned),
+    w AS (SELECT DISTINCT kafka_partition, kafka_offset, text, unnest(string_split_regex(lower(text), '[^{WORD}]+')) AS word FROM t),
+    m AS (SELECT kafka_partition, kafka_offset, text, keyword FROM w JOIN k ON word = keyword WHERE regexp_full_match(keyword, '[{WORD}]+')
+      UNION ALL SELECT kafka_partition, kafka_offset, text, keyword FROM t, (SELECT keyword FROM k WHERE NOT regexp_full_match(keyword, '[{WORD}]+'))
+      WHERE contains(lower(text), keyword)
+      AND regexp_matches(text, '(?i)(^|[^{WORD}])' || regexp_replace(keyword, '([.+#-])', '\\\\\\1', 'g') || '($|[^{WORD}])'))"""
 _LATE = """w AS (SELECT *, CAST(epoch_us(ingest_ts) // 600000000 * 600 AS BIGINT) AS period,
     created_utc // 3600 * 3600 + 3600 AS wend FROM reddit_comments_cleaned WHERE created_utc > 0),
   p AS (SELECT period, max(created_utc) AS top FROM w GROUP BY period),
@@ -337,19 +390,36 @@ SQL = {
     body AS original_body, t AS cleaned_body, array_to_string({tokens("t")}, '|') AS tokens, coalesce(score, 0) AS score,
     coalesce(controversiality, 0) AS controversiality, 'en' AS language, kafka_partition, kafka_offset
     FROM x LEFT JOIN y USING (kafka_partition, kafka_offset) WHERE length(t) < 20 OR coalesce(y.language, 'en') = 'en'""",
-    "tag_comments": f"""WITH k AS (SELECT lower(trim(keyword)) AS keyword, subkeywords FROM tracked_keywords),
-    t AS (SELECT kafka_partition, kafka_offset, coalesce(nullif(cleaned_body, ''), array_to_string(tokens, ' '), '') AS text FROM reddit_comments_cleaned),
-    w AS (SELECT DISTINCT kafka_partition, kafka_offset, text, unnest(string_split_regex(lower(text), '[^{WORD}]+')) AS word FROM t),
-    m AS (SELECT kafka_partition, kafka_offset, text, keyword FROM w JOIN k ON word = keyword WHERE regexp_full_match(keyword, '[{WORD}]+')
-      UNION ALL SELECT kafka_partition, kafka_offset, text, keyword FROM t, (SELECT keyword FROM k WHERE NOT regexp_full_match(keyword, '[{WORD}]+'))
-      WHERE contains(lower(text), keyword)
-      AND regexp_matches(text, '(?i)(^|[^{WORD}])' || regexp_replace(keyword, '([.+#-])', '\\\\\\1', 'g') || '($|[^{WORD}])')),
+    "tag_comments": f"""WITH {_MATCHED},
     h AS (SELECT kafka_partition, kafka_offset, keyword, CASE
         {" ".join(f"WHEN keyword = '{k}' THEN {_sense_sql(k)}" for k in SENSES)} WHEN len(subkeywords) > 0 THEN 'ambiguous' END AS sense
       FROM m JOIN k USING (keyword))
     SELECT t.kafka_partition, t.kafka_offset, coalesce(string_agg(keyword, '|' ORDER BY keyword), '') AS matched,
     coalesce(string_agg(keyword || '=' || sense, '|' ORDER BY keyword), '') AS senses
     FROM t LEFT JOIN h USING (kafka_partition, kafka_offset) GROUP BY ALL""",
+    "keyword_set": """SELECT lower(trim(keyword)) AS keyword, coalesce(array_to_string(subkeywords, '|'), '') AS subkeywords FROM tracked_keywords
+    WHERE lower(trim(keyword)) <> 'anchor' UNION ALL SELECT 'new word', 'b|a' UNION ALL SELECT 'zebra', ''""",
+    "keyword_validity": f"""SELECT DISTINCT token, coalesce(regexp_full_match(lower({strip("token")}), '[a-z0-9 .+#-]{{1,40}}'), false) AS valid
+    FROM (SELECT unnest(tokens) AS token FROM reddit_comments_cleaned)""",
+    "subkeyword_lists": """SELECT keyword, array_to_string(subkeywords, '|') AS words, 'list' AS origin FROM tracked_keywords
+    UNION ALL SELECT keyword, array_to_string(subkeywords, '|'), 'text' FROM tracked_keywords WHERE subkeywords IS NOT NULL""",
+    "embedding_senses": f"""WITH {_MATCHED},
+    n AS (SELECT lower(t) AS word FROM (SELECT unnest(tokens) AS t FROM reddit_comments_cleaned) GROUP BY 1 HAVING count(*) >= 5 AND word <> ''),
+    e AS (SELECT word, i, CAST(x AS DOUBLE) AS x FROM (SELECT word, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i
+      FROM n JOIN embeddings ON vec_id = (7 * unicode(word) + length(word)) % 400)),
+    s AS (SELECT DISTINCT m.kafka_partition, m.kafka_offset, keyword, subkeywords FROM m JOIN k USING (keyword) WHERE len(subkeywords) > 0),
+    tw AS (SELECT kafka_partition, kafka_offset, lower(unnest(tokens)) AS word FROM reddit_comments_cleaned),
+    a AS (SELECT kafka_partition, kafka_offset, i, avg(x) AS x FROM (SELECT DISTINCT kafka_partition, kafka_offset FROM s) JOIN tw USING (kafka_partition, kafka_offset)
+      JOIN e USING (word) GROUP BY ALL),
+    u AS (SELECT *, unnest(subkeywords) AS sub FROM s),
+    c AS (SELECT u.kafka_partition, u.kafka_offset, keyword, sub, sum(a.x * e.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(e.x * e.x))) AS score
+      FROM u JOIN e ON sub = e.word JOIN a ON a.kafka_partition = u.kafka_partition AND a.kafka_offset = u.kafka_offset AND a.i = e.i GROUP BY ALL
+      UNION ALL SELECT kafka_partition, kafka_offset, keyword, sub, 1.0 FROM u WHERE sub NOT IN (SELECT word FROM e)
+      AND (kafka_partition, kafka_offset, sub) IN (SELECT kafka_partition, kafka_offset, word FROM tw WHERE word IS NOT NULL)),
+    r AS (SELECT *, row_number() OVER z AS rank, lead(score) OVER z AS second FROM c WINDOW z AS (PARTITION BY kafka_partition, kafka_offset, keyword ORDER BY score DESC, sub)),
+    b AS (SELECT kafka_partition, kafka_offset, keyword, CASE WHEN score >= 0.20 AND (second IS NULL OR score - second >= 0.05) THEN sub ELSE 'ambiguous' END AS sense FROM r WHERE rank = 1)
+    SELECT kafka_partition, kafka_offset, string_agg(keyword || '=' || coalesce(sense, 'ambiguous'), '|' ORDER BY keyword) AS senses
+    FROM s LEFT JOIN b USING (kafka_partition, kafka_offset, keyword) GROUP BY 1, 2""",
     "keyword_fanout": f"SELECT kafka_partition, kafka_offset, keyword, base_keyword, sentiment_label FROM ({_FAN})",
     "language_breakdown": """SELECT coalesce(language, 'unknown') AS language, count(*) AS comment_count,
     round_even(avg(CASE WHEN sentiment_label = 'positive' THEN 1.0::DOUBLE ELSE 0 END), 4) AS positive_ratio
