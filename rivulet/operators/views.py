@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rivulet.functions import text as X
 from rivulet.operators.windows import bucket
@@ -364,6 +365,61 @@ def comments_of_senses(comments: DataFrame, keywords: Sequence[str], senses: dic
     return comments.where(F.exists("matched_keywords", fits))
 
 
+#: What a client is sent of each keyword in a second, and at once (fixed values).
+COMMENT_RATE, COMMENT_BURST, WINDOW_RATE, WINDOW_BURST = 5, 3, 20, 10
+
+
+def throttled(df: DataFrame, key: str, seconds: str, order: Sequence[str], rate: float, burst: int) -> DataFrame:
+    """The rows that a token bucket for each key lets through: burst at once, then rate a second, in the given order.
+
+    A bucket that is full again forgets what was before: no row takes more than one token, so rows of more than
+    burst / rate seconds without another start anew. Such a stretch is folded by itself, which splits a busy key in time.
+    """
+    if rate <= 0 or burst < 1:
+        raise ValueError("rate must be positive and burst one at least")
+    w = W.partitionBy(key).orderBy(*order)
+    gap = F.col(seconds) - F.lag(seconds).over(w)
+    marked = df.withColumns({"_new": F.when(F.coalesce(gap, F.lit(burst / rate)) >= burst / rate, 1).otherwise(0), "_t": F.col(seconds)})
+    marked = marked.withColumn("_stretch", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    row = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], "_t", F.struct(*df.columns).alias("row"))
+    rows = marked.groupBy(key, "_stretch").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    none = F.array().cast(T.ArrayType(T.BooleanType()))
+    start = F.struct(F.lit(float(burst)).alias("left"), F.lit(None).cast("double").alias("at"), none.alias("sent"))
+
+    def step(state: Column, r: Column) -> Column:
+        t = r["_t"].cast("double")
+        left = F.least(F.lit(float(burst)), state["left"] + F.coalesce(t - state["at"], F.lit(0.0)) * rate)
+        return F.struct(F.when(left >= 1, left - 1).otherwise(left).alias("left"), t.alias("at"), F.concat(state["sent"], F.array(left >= 1)).alias("sent"))
+
+    sent = rows.select("rows", F.aggregate("rows", start, step)["sent"].alias("sent"))
+    kept = sent.select(F.explode(F.filter(F.arrays_zip("rows", "sent"), lambda x: x["sent"])).alias("x"))
+    return kept.select("x.rows.row.*")
+
+
+def delivered_comments(comments: DataFrame, keywords: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Comments on a client's keywords with key, the first of these by name, thinned out by key."""
+    mine = F.array_intersect(F.transform("matched_keywords", lambda k: F.lower(k)), F.array(*[F.lit(k.lower()) for k in keywords]))
+    on = comments.withColumn("key", F.array_min(mine)).where(F.col("key").isNotNull())
+    return throttled(on.select("key", "id", "created_utc", *[c for c in order if c not in ("id", "created_utc")]), "key", "created_utc", order, COMMENT_RATE, COMMENT_BURST)
+
+
+def delivered_windows(windows: DataFrame, keywords: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Windows of a client's keywords, thinned out by base keyword."""
+    on = windows.where(F.col("base_keyword").isin(*[k.lower() for k in keywords])).withColumn("key", F.col("base_keyword"))
+    return throttled(on.select("key", "keyword", "window_end", *[c for c in order if c != "window_end"]), "key", "window_end", order, WINDOW_RATE, WINDOW_BURST)
+
+
+def health(stages: dict[str, DataFrame], arrival: str = "ingest_ts", stale_s: int = 600) -> DataFrame:
+    """(stage, n, behind_s, status) of each stage: empty, stale (so far behind the newest stage), or ok."""
+    out = None
+    for name, df in stages.items():
+        one = df.agg(F.lit(name).alias("stage"), F.count(F.lit(1)).alias("n"), F.max(F.unix_timestamp(arrival)).alias("last_s"))
+        out = one if out is None else out.unionByName(one)
+    newest = F.max("last_s").over(W.partitionBy())  # one row for each stage
+    behind = newest - F.col("last_s")
+    return out.withColumn("behind_s", behind).select("stage", "n", "behind_s", F.when(F.col("n") == 0, "empty").when(F.col("behind_s") > stale_s, "stale").otherwise("ok").alias("status"))
+
+
 _EMOJI = r"[\x{1F300}-\x{1FAFF}]"
 
 

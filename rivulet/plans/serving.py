@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.operators import views
+from rivulet.operators import trending, views
+from rivulet.plans.pipeline import _first_sql, _terms_sql
 from rivulet.plans.stated import quoted
 from rivulet.session import table
 
@@ -82,7 +83,7 @@ def recent_comments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matching_comments(spark: SparkSession, d: str) -> DataFrame:
-    found = views.matching_comments(_comments(spark, d), A, "espresso recipe", ARRIVAL, 20)
+    found = views.matching_comments(_comments(spark, d), A, "little in common", ARRIVAL, 20)
     return found.select("id", "kafka_partition", "kafka_offset", "snippet")
 
 
@@ -115,7 +116,27 @@ def trending_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trending_examples(spark: SparkSession, d: str) -> DataFrame:
-    return views.trending_examples(views.trending_overview(_stored(spark, d)), _comments(spark, d), ARRIVAL, 5, 2)
+    """Comments behind the three best terms of the latest day of every keyword, two for each."""
+    days = trending.trending(table(spark, d, "reddit_comments_cleaned"), 86400)
+    overview = views.trending_overview(views.trending_windows(days, ["window_start"]))
+    found = views.trending_examples(overview, _comments(spark, d), ARRIVAL, 3, 2)
+    return found.select("rank", "token", "position", "id", "author", "sentiment_label", "created_utc")
+
+
+def delivered(spark: SparkSession, d: str) -> DataFrame:
+    """What a client on some keywords is sent of comments and windows, at no more than the allowed rate for each keyword."""
+    names = [A, B, "ferry", "glimmerdrop"]
+    comments = views.delivered_comments(_comments(spark, d), names, ["created_utc", "kafka_partition", "kafka_offset"])
+    windows = views.delivered_windows(_windows(spark, d), names, ["window_end", "kafka_partition", "kafka_offset"])
+    cols = [F.col("key"), F.col("kafka_partition"), F.col("kafka_offset")]
+    return comments.select(F.lit("comment").alias("kind"), *cols).unionByName(windows.select(F.lit("window").alias("kind"), *cols))
+
+
+def health(spark: SparkSession, d: str) -> DataFrame:
+    """State of the pipeline by stage, from what each stage has written last."""
+    stages = {"raw": table(spark, d, "reddit_comments"), "cleaned": table(spark, d, "reddit_comments_cleaned"), "sentiment": table(spark, d, "sentiment_results"),
+              "analytics": table(spark, d, "analytics_results"), "nothing": table(spark, d, "sentiment_results").where("false")}
+    return views.health(stages, stale_s=86400)
 
 
 def reach_series(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +165,7 @@ QUERIES = {
         latest_sentiment, stored_windows, timeseries, compare, rebucket, merged_senses, headline, label_buckets, chart,
         scatter, known_keywords, recent_comments, matching_comments, comments_of_senses, series_of_sense, trending_stored,
         trending_overview, trending_all, trending_history, trending_examples, reach_series, reach_latest, late_status,
-        live_points, live_feed,
+        live_points, live_feed, delivered, health,
     )
 }
 
@@ -203,7 +224,7 @@ SQL = {
     "known_keywords": f"WITH {_W} SELECT DISTINCT keyword FROM w",
     "recent_comments": f"""WITH {_C}, k AS (SELECT *, unnest(list_distinct(list_transform(matched_keywords, lambda x: lower(x)))) AS keyword FROM c)
     SELECT keyword, id, kafka_partition, kafka_offset FROM k QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY {_DESC}) <= 100""",
-    "matching_comments": f"""WITH {_C}, m AS (SELECT *, regexp_extract(original_body, {quoted(r"(?i)(?:^|[^\p{L}\p{N}_])(espresso[^\p{L}\p{N}_]+recipe)(?:$|[^\p{L}\p{N}_])")}, 1) AS hit FROM c
+    "matching_comments": f"""WITH {_C}, m AS (SELECT *, regexp_extract(original_body, {quoted(r"(?i)(?:^|[^\p{L}\p{N}_])(little[^\p{L}\p{N}_]+in[^\p{L}\p{N}_]+common)(?:$|[^\p{L}\p{N}_])")}, 1) AS hit FROM c
       WHERE list_contains(list_transform(matched_keywords, lambda x: lower(x)), '{A}')), n AS (SELECT *, instr(original_body, hit) - 1 AS a FROM m WHERE hit <> ''
       ORDER BY {_DESC} LIMIT 20), b AS (SELECT *, greatest(a - 140, 0) AS lo, least(a + length(hit) + 140, length(original_body)) AS hi FROM n)
     SELECT id, kafka_partition, kafka_offset, CASE WHEN lo > 0 THEN '…' ELSE '' END || trim(substr(original_body, CAST(lo + 1 AS BIGINT), CAST(hi - lo AS BIGINT)), E' \\n\\t\\r')
@@ -218,6 +239,38 @@ SQL = {
       sum(coalesce(x.score, x.count)) AS score FROM i GROUP BY 1, 2),
     top AS (SELECT token FROM r WHERE window_end = (SELECT max(window_end) FROM t) ORDER BY score DESC, token LIMIT 5)
     SELECT e.window_end, top.token, r.count FROM (SELECT DISTINCT window_end FROM t) e CROSS JOIN top LEFT JOIN r ON r.window_end = e.window_end AND r.token = top.token""",
+    "trending_examples": f"""WITH {_first_sql(86400)}, {_terms_sql("f")},
+    n AS (SELECT keyword, created_utc // 86400 AS day, term, count(*) AS n FROM s GROUP BY 1, 2, 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY keyword, day ORDER BY n DESC, term) AS rank, sum(n) OVER (PARTITION BY keyword, day) AS total FROM n),
+    last AS (SELECT keyword, max(day) AS day FROM r WHERE total >= 30 GROUP BY keyword),
+    o AS (SELECT term AS token, sum(n) AS score, list_sort(list(DISTINCT keyword)) AS names FROM r JOIN last USING (keyword, day) WHERE rank <= 20 AND n >= 2
+      GROUP BY term ORDER BY score DESC, token LIMIT 3),
+    p AS (SELECT rank, token, unnest(names) AS keyword, generate_subscripts(names, 1) AS place FROM (SELECT *, row_number() OVER (ORDER BY score DESC, token) - 1 AS rank FROM o)),
+    {_C}, st AS (SELECT * FROM (SELECT *, unnest(list_distinct(list_transform(matched_keywords, lambda x: lower(x)))) AS keyword FROM c)
+      QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY {_DESC}) <= 100),
+    hit AS (SELECT p.rank, token, place, row_number() OVER (PARTITION BY p.rank, place ORDER BY {_DESC}) AS i, id, author, sentiment_label, created_utc FROM st JOIN p USING (keyword)
+      WHERE regexp_matches(original_body, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || replace(token, ' ', '[^\\p{{L}}\\p{{N}}_]+') || '($|[^\\p{{L}}\\p{{N}}_])') QUALIFY i <= 6),
+    e0 AS (SELECT * FROM (SELECT * FROM hit WHERE rank = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY place, i) = 1) ORDER BY place, i LIMIT 2),
+    e1 AS (SELECT * FROM (SELECT * FROM hit WHERE rank = 1 AND id NOT IN (SELECT id FROM e0) QUALIFY row_number() OVER (PARTITION BY id ORDER BY place, i) = 1) ORDER BY place, i LIMIT 2),
+    e2 AS (SELECT * FROM (SELECT * FROM hit WHERE rank = 2 AND id NOT IN (SELECT id FROM e0 UNION ALL SELECT id FROM e1) QUALIFY row_number() OVER (PARTITION BY id ORDER BY place, i) = 1)
+      ORDER BY place, i LIMIT 2)
+    SELECT rank, token, row_number() OVER (PARTITION BY rank ORDER BY place, i) AS position, id, author, sentiment_label, created_utc
+    FROM (SELECT * FROM e0 UNION ALL SELECT * FROM e1 UNION ALL SELECT * FROM e2)""",
+    "delivered": f"""WITH RECURSIVE {_C}, {_W},
+    m AS (SELECT 'comment' AS kind, k.key, created_utc AS t, kafka_partition, kafka_offset, 5::DOUBLE AS rate, 3::DOUBLE AS burst FROM
+      (SELECT *, list_min(list_filter(list_transform(matched_keywords, lambda x: lower(x)), lambda x: x IN ('espresso', 'mercury', 'ferry', 'glimmerdrop'))) AS key FROM c) k WHERE k.key IS NOT NULL
+      UNION ALL SELECT 'window', base_keyword, window_end, kafka_partition, kafka_offset, 20, 10 FROM w WHERE base_keyword IN ('espresso', 'mercury', 'ferry', 'glimmerdrop')),
+    o AS (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY t, kafka_partition, kafka_offset) AS i FROM m),
+    b AS (SELECT kind, key, i, t, rate, burst, kafka_partition, kafka_offset, true AS sent, burst - 1 AS left_ FROM o WHERE i = 1
+      UNION ALL SELECT o.kind, o.key, o.i, o.t, o.rate, o.burst, o.kafka_partition, o.kafka_offset, least(b.burst, left_ + (o.t - b.t) * b.rate) >= 1,
+        least(b.burst, left_ + (o.t - b.t) * b.rate) - CASE WHEN least(b.burst, left_ + (o.t - b.t) * b.rate) >= 1 THEN 1 ELSE 0 END
+      FROM b JOIN o ON o.kind = b.kind AND o.key = b.key AND o.i = b.i + 1)
+    SELECT kind, key, kafka_partition, kafka_offset FROM b WHERE sent""",
+    "health": """WITH s AS (SELECT 'raw' AS stage, ingest_ts FROM reddit_comments UNION ALL SELECT 'cleaned', ingest_ts FROM reddit_comments_cleaned
+      UNION ALL SELECT 'sentiment', ingest_ts FROM sentiment_results UNION ALL SELECT 'analytics', ingest_ts FROM analytics_results),
+    a AS (SELECT stage, count(*) AS n, max(CAST(floor(epoch_us(ingest_ts) / 1000000) AS BIGINT)) AS last_s FROM s GROUP BY stage)
+    SELECT stage, n, (SELECT max(last_s) FROM a) - last_s AS behind_s, CASE WHEN (SELECT max(last_s) FROM a) - last_s > 86400 THEN 'stale' ELSE 'ok' END AS status FROM a
+    UNION ALL SELECT 'nothing', 0, NULL, 'empty'""",
     "reach_series": f"WITH {_R} SELECT * FROM r",
     "reach_latest": f"""WITH {_R} SELECT * FROM r WHERE keyword IN (SELECT lower(keyword) FROM tracked_keywords)
     QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY window_end DESC) = 1""",

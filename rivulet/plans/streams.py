@@ -48,8 +48,8 @@ def stream_reach(spark: SparkSession, d: str) -> DataFrame:
     return _last(spark, out, ["keyword", "window_start", "window_end"])
 
 
-#: Three days of arrivals are one micro-batch of the streams below, so that lateness can be stated in SQL.
-PERIOD = 259_200
+#: A day of arrivals is one micro-batch of the streams below, so that lateness can be stated in SQL.
+PERIOD = 86_400
 PROMPT = Settings(watermark_s=5, window_s=3600, analytics_window_s=86_400)
 
 
@@ -150,7 +150,7 @@ def _kept(size: int) -> str:
 
     The engine drops rows behind the watermark that the micro-batch before worked with, which is that of two before.
     """
-    return f"""b AS (SELECT *, CAST(epoch_us(ingest_ts) // 259200000000 AS BIGINT) AS p FROM reddit_comments_cleaned WHERE created_utc IS NOT NULL),
+    return f"""b AS (SELECT *, CAST(epoch_us(ingest_ts) // 86400000000 AS BIGINT) AS p FROM reddit_comments_cleaned WHERE created_utc IS NOT NULL),
   tops AS (SELECT p, max(created_utc) AS top FROM b GROUP BY p),
   marks AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS batch, max(top) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 5 AS mark,
     max(top) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - 5 AS engine_mark FROM tops),

@@ -83,3 +83,75 @@ def test_retrainer(spark, tmp_path):
     v = r.cycle(corpus(spark))
     assert r.store.latest() == v and r.store.metadata(v)["accuracy"] >= 0.8
     assert corpus(spark).select(F.col("label")).distinct().count() == 2
+
+
+def _plain_compound(text):
+    """The scoring rules, one word after the other."""
+    import math
+
+    words = lexicon._words(text)
+    low, n = [w.lower() for w in words], len(words)
+    caps = sum(w.isupper() for w in words)
+    loud = 0 < caps < n
+    values = []
+    for i, w in enumerate(low):
+        if w not in lexicon.VALENCE or w in lexicon.STRONGER | lexicon.WEAKER:
+            continue
+        v = lexicon.VALENCE[w]
+        sign = lambda x: math.copysign(1, x)
+        if words[i].isupper() and loud:
+            v += sign(v) * 0.733
+        for k in (1, 2, 3):
+            if i < k or low[i - k] in lexicon.VALENCE:
+                continue
+            p = low[i - k]
+            if p in lexicon.STRONGER or p in lexicon.WEAKER:
+                b = 0.293 if p in lexicon.STRONGER else -0.293
+                b = -b if v < 0 else b
+                if words[i - k].isupper() and loud:
+                    b += 0.733 if v > 0 else -0.733
+                v += b * (1, 0.95, 0.9)[k - 1]
+            between = low[i - k + 1 : i]
+            if p == "never" and {"so", "this"} & set(between):
+                v *= 1.25
+            elif p == "without" and "doubt" in between:
+                pass
+            elif p in lexicon.NEGATIONS or "n't" in p:
+                v *= -0.74
+        if i > 0 and low[i - 1] == "least" and low[i - 1] not in lexicon.VALENCE and not (i > 1 and low[i - 2] in ("at", "very")):
+            v *= -0.74
+        if "but" in low:
+            v *= 0.5 if i < low.index("but") else 1.5
+        values.append(v)
+    s = sum(values)
+    q = text.count("?")
+    marks = min(text.count("!"), 4) * 0.292 + (0 if q < 2 else q * 0.18 if q <= 3 else 0.96)
+    s += marks if s > 0 else -marks if s < 0 else 0
+    return round(s / math.sqrt(s * s + 15), 4)
+
+
+def test_lexicon_by_brute_force():
+    rnd = random.Random(11)
+    words = "good GREAT awful hate not never so this very BARELY least at but without doubt isn't phone , ok :) love! sad?? the".split()
+    texts = [" ".join(rnd.choices(words, k=rnd.randrange(0, 14))) for _ in range(3000)] + ["good", "", "   ", "but", "!!!"]
+    got = lexicon.compounds([*texts, None])
+    assert all(abs(a - _plain_compound(t)) < 1.1e-4 for a, t in zip(got, texts)) and got[-1] == 0
+    assert lexicon.compounds([]).shape == (0,)
+    assert sum(abs(a - _plain_compound(t)) > 1e-9 for a, t in zip(got, texts)) < 20
+
+
+def test_valences_from_a_file(tmp_path):
+    (tmp_path / "v.txt").write_text("grumpy\t-1.8\t0.4\t[1]\n\nsunny\t1.9\n")
+    table = lexicon.read_valences(str(tmp_path / "v.txt"))
+    assert table == {"grumpy": -1.8, "sunny": 1.9}
+    a, b = lexicon.compounds(["a grumpy day", "a sunny day"], table)
+    assert a < 0 < b
+
+
+def test_vectors_are_trained_on_a_spread_sample(spark):
+    from rivulet.ml import vectors
+
+    df = spark.range(4000).select(F.array(F.concat(F.lit("w"), F.col("id") % 50), F.lit("all"), F.lit(" "), F.lit(None).cast("string"), F.concat(F.lit("x"), "id")).alias("tokens"))
+    m = vectors.train(df, max_rows=1000, size=4, min_count=2, epochs=1, partitions=2)
+    found = vectors.lookup(m)
+    assert len(found) == 51 and set(vectors.lookup(m, ["ALL", "none"])) == {"all"} and vectors.probe(m, ["zzz"]) == {"zzz": None}

@@ -1,6 +1,7 @@
 import json
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from rivulet.config import Settings
@@ -133,3 +134,84 @@ def test_replay_and_sources(spark, tmp_path):
     assert sinks.as_json(df.limit(1), "i").columns == ["key", "value"]
     assert topics.synthetic(spark, 5, ["a", "b"]).isStreaming
     assert job.replay_warning(1, 5) and job.replay_warning(5, 5) is None and job.clamp("speed", 5000) == 1000
+
+
+def test_runs_by_brute_force(spark):
+    import random
+    from itertools import groupby
+
+    rnd = random.Random(3)
+    rows = [(p, i, rnd.choice([1, 1, 1, 2, None])) for p in (0, 1, None) for i in range(400)]
+    df = spark.createDataFrame(rows, "p int, i int, t int").repartition(7)
+    want = set()
+    for p in (0, 1, None):
+        for n, (t, g) in enumerate(groupby((r for r in rows if r[0] == p), key=lambda r: r[2]), 1):
+            g = list(g)
+            want.add((p, n, t, len(g), g[0][1]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {tuple(r) for r in replay.runs(df, ["p"], ["i"], "t").collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert replay.runs(df.where("false"), ["p"], ["i"], "t").count() == 0
+
+
+@pytest.mark.parametrize("by_window", [False, True])
+def test_pane_stream_compacts(spark, tmp_path, by_window):
+    t0 = datetime(2019, 4, 1, tzinfo=timezone.utc)
+    rows = [(f"{i % 2}", BASE + (i * 977) % 200_000, t0 + timedelta(seconds=(i * 977) % 200_000 + (i % 7) * 2500), i) for i in range(240)]
+    df = spark.createDataFrame(rows, "k string, created_utc bigint, ingest_ts timestamp, i int")
+    made = [PaneStream(spark, str(tmp_path / name), 7200, 3600, 7200, ["k"], by_window=by_window, compact_every=n) for name, n in (("often", 2), ("never", 100))]
+    for state in made:
+        for b in (0, 1, 2, 3, 3, 4, 5, 5, 6):
+            state(df.where(F.col("i") % 7 == b), b)
+    a, b = ({tuple(r[c] for c in ("k", "window_start", "n", "n_late", "n_past")) for r in m.current().collect()} for m in made)
+    assert a == b
+    assert sorted(x.name for x in (tmp_path / "often/bases").iterdir()) == ["upto=3", "upto=5"]
+    assert sorted(x.name for x in (tmp_path / "often/panes").iterdir()) == ["batch=4", "batch=5", "batch=6"]
+
+
+def test_a_broken_read_is_no_empty_one(spark, tmp_path):
+    schema = "created_utc bigint, author string, tokens array<string>, matched_keywords array<string>, keyword_senses map<string,string>, sentiment_label string"
+    df = spark.createDataFrame([(BASE, "a", ["battery"], ["apple"], {}, "positive")], schema)
+    counter = job.LateCounter(spark, str(tmp_path / "late"), 60, 5)
+    counter(df, 0)
+    for f in (tmp_path / "late/seen/batch=0").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    with pytest.raises(Exception):  # noqa: B017 - whatever the reader says, the micro-batch must fail
+        counter(df, 1)
+
+
+def test_a_broken_model_leaves_the_last_good_one(spark, tmp_path):
+    from rivulet.ml import model
+
+    rows = [([w, f"x{i % 3}"], y) for i in range(12) for w, y in (("good", "positive"), ("bad", "negative"))]
+    store, said = model.Store(spark, str(tmp_path / "models")), []
+    j = job.Job(spark, Settings(), str(tmp_path / "out"), store=store, report=said.append)
+    assert j.model() == (None, None)
+    store.save(model.fit(spark.createDataFrame(rows, "tokens array<string>, label string"), max_iter=3), version="v1")
+    assert j.model()[1] == "v1"
+    store._write(f"{store.root}/LATEST", "v2")
+    good, version = j.model()
+    assert version == "v1" and good is not None and said[0].startswith("model not loaded")
+
+
+def test_shared_folder_on_a_cluster(spark, monkeypatch):
+    from rivulet import session
+
+    class Cluster:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda k: None)}))
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Cluster
+        conf = type("C", (), {"get": staticmethod(lambda k, d: d)})
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session)
+    folder = session.scratch(spark, "test")
+    spark.range(3).write.parquet(folder)
+    assert session.exists(spark, folder) and "_SUCCESS" in session.children(spark, folder) and session.children(spark, folder + "x") == []
+    session.forget(spark)
+    assert not session.exists(spark, folder)

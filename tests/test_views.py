@@ -110,3 +110,24 @@ def test_live_points_and_late(spark):
     assert views.last_per_key(df, ["keyword"], ORDER).count() == 2 and views.replaced(df, ["keyword"], ORDER).count() == 2
     raw = df.select(F.lit(None).cast("string").alias("keyword"), "window_end", "positive_ratio", "comment_count")
     assert views.valid_windows(raw).count() == 0
+
+
+def test_token_bucket_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(k, rnd.randrange(40), i) for k in ("a", "b", None) for i in range(150)] + [("c", None, 1)]
+    want = []
+    for k in ("a", "b", None, "c"):
+        left, last = 3.0, None
+        for t, i in sorted((r[1:] for r in rows if r[0] == k), key=lambda x: (x[0] is not None, x)):
+            left = min(3.0, left + ((t - last) if last is not None and t is not None else 0) * 0.5)
+            if left >= 1:
+                left -= 1
+                want.append((str(k), i))
+            last = t
+    df = spark.createDataFrame(rows, "k string, t int, i int")
+    got = [(str(r["k"]), r["i"]) for r in views.throttled(df, "k", "t", ["t", "i"], 0.5, 3).collect()]
+    assert sorted(got) == sorted(want)
+    with pytest.raises(ValueError):
+        views.throttled(df, "k", "t", ["i"], 0, 1)
