@@ -32,30 +32,61 @@ _NOISE = re.compile(
 )
 _END = re.compile(r"(?i:\b(?:lol|lmao|ha(?:ha)+|smh)\b)[\s.!]*|(?<=[.!?…])[\"')\]»”]*\s+|\n+|(?<=[。！？])|[\U0001F000-\U0001FAFF☀-➿️‍]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_DIGITS = str.maketrans("123456789", "000000000")
+_DIGITS = bytes.maketrans(b"123456789", b"000000000")
 #: Cyrillic letters that look like Latin ones (fixed values), folded in words that mix the two scripts.
 _LOOKALIKE = str.maketrans("аеорсухікмнтвАЕОРСУХІКМНТВ", "aeopcyxikmhtbAEOPCYXIKMHTB")
 _MIXED = re.compile(r"\b(?=\w*[a-zA-Z])(?=\w*[а-яіА-ЯІ])\w+")
 
 
+_PLAIN_END = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n+")
+
+
+def quiet(text: str) -> str:
+    """The text without links, mentions, tags and code."""
+    if "[" in text or "/" in text or "&" in text or "#" in text or "`" in text or "www." in text.lower():
+        return _NOISE.sub(" ", text)
+    return text
+
+
+def _is_plain(text: str) -> bool:
+    """Whether only stops and line ends can end a sentence of the text."""
+    if not text.isascii():
+        return False
+    low = text.lower()
+    return not ("lol" in low or "lmao" in low or "haha" in low or "smh" in low)
+
+
+def parts(text: str) -> list[str]:
+    """What stands between the sentence ends of a text without noise. Laughter is one too. Plain texts take a shorter pattern."""
+    return (_PLAIN_END if _is_plain(text) else _END).split(text)
+
+
+def counted(quiet_text: str) -> tuple[int, list[tuple[str, int]]]:
+    """The words of a text, and its sentences of two words at least with theirs. Words of laughter belong to no sentence."""
+    plain, total, out = _is_plain(quiet_text), 0, []
+    for s in (_PLAIN_END if plain else _END).split(quiet_text):
+        if s:
+            n = len(_WORD.findall(s))
+            total += n
+            if n >= 2:
+                out.append((" ".join(s.split()), n))
+    return total if plain else len(_WORD.findall(quiet_text)), out
+
+
 def sentences(text: str) -> list[str]:
     """The sentences of a text without links, mentions, tags and code, each with two words at least. Laughter ends one too."""
-    out = []
-    for s in _END.split(_NOISE.sub(" ", text)):
-        if s and len(_WORD.findall(s)) >= 2:
-            out.append(" ".join(s.split()))
-    return out
+    return [s for s, _ in counted(quiet(text))[1]]
 
 
 def n_words(text: str) -> int:
     """Words aside from links, mentions and numbers."""
-    return len(_WORD.findall(_NOISE.sub(" ", text)))
+    return len(_WORD.findall(quiet(text)))
 
 
 def windows(sentence: str) -> list[bytes]:
     if not sentence.isascii():
         sentence = _MIXED.sub(lambda m: m.group().translate(_LOOKALIKE), sentence)
-    raw = sentence.lower().translate(_DIGITS).encode()
+    raw = sentence.lower().encode().translate(_DIGITS)
     if len(raw) <= WINDOW:
         return [raw]
     last = len(raw) - WINDOW
@@ -147,7 +178,9 @@ def _fit(net: Network, rows: list[bytes], labels: np.ndarray, weights: np.ndarra
             dz = (dh[:, :, None] * p[1].T[None]).reshape(n, f, w, DIM)
             dembed = np.zeros_like(p[0])
             for k in range(w):
-                np.add.at(dembed, x[np.arange(n)[:, None], best + k], dz[:, :, k])
+                at_byte = x[np.arange(n)[:, None], best + k].ravel()
+                for j in range(DIM):
+                    dembed[:, j] += np.bincount(at_byte, dz[:, :, k, j].ravel(), 256)
             dembed[0] = 0
             step += 1
             lr = rate * min(1, step / 50) * (1 - step / (steps + 1))
@@ -276,11 +309,12 @@ def train(
     return _fit(net, rows, np.array(labels), _weighted(labels, len(languages), given), more_epochs, rng, 2e-3)
 
 
-_KEPT: dict[int, Network] = {}
+#: Of a longer text so many characters are used for training, from a place that its hash chooses.
+SAMPLE_CHARS = 4000
 
 
 def sample(df: DataFrame, max_rows: int) -> list[tuple[str, str]]:
-    """At most max_rows distinct texts of each language of df (lang, text), those with the smallest hashes.
+    """At most max_rows distinct texts of each language of df (lang, text), those with the smallest hashes, of SAMPLE_CHARS at most.
 
     One pass counts the rows of each language, a second one keeps those below a hash threshold for it. Nothing is sorted,
     and what comes to the driver has a fixed size whatever the size of df.
@@ -290,9 +324,11 @@ def sample(df: DataFrame, max_rows: int) -> list[tuple[str, str]]:
     if not sizes:
         return []
     share = F.create_map(*[x for a, n in sorted(sizes.items()) for x in (F.lit(a), F.lit(min(1.0, 1.2 * max_rows / n)))])
-    h = F.xxhash64("text").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    known = known.withColumn("_h", F.xxhash64("text").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    known = known.withColumn("text", F.substring("text", start, F.lit(SAMPLE_CHARS)))
     # one text may stand on many rows; distinct texts below the threshold are as few as it says
-    rows = known.withColumn("_h", h).where(F.col("_h") <= F.element_at(share, F.col("lang"))).distinct().collect()
+    rows = known.where(F.col("_h") <= F.element_at(share, F.col("lang"))).distinct().collect()
     out: dict[str, list[tuple[float, str]]] = {}
     for r in rows:
         out.setdefault(r["lang"], []).append((r["_h"], r["text"]))
@@ -317,50 +353,96 @@ def fit(samples: DataFrame, claimed: DataFrame | None = None, max_rows: int = TR
     return _KEPT[key]
 
 
-def classify(net: Network, texts: list[str]) -> list[list[tuple[str, str, float]]]:
-    """(language, segment, confidence) of each text, in order. Neighbouring sentences of one language are one segment.
+#: From this confidence on a window or a sentence is sure of its language.
+SURE = 0.9
 
-    A sentence of several windows has the mean of their probabilities, unless its first and its last window are sure of
-    different languages: then it is taken for two sentences that were run together, cut between words in the middle of
-    where the language changes. A sentence of which the network is unsure is weighed by the languages of which it is
-    sure in the rest of the text.
-    """
-    parts: list[tuple[int, str]] = [(i, s) for i, t in enumerate(texts) if t for s in sentences(t)]
-    cuts = [windows(s) for _, s in parts]
+
+def _runs(top: list[int], conf: list[float], und: int) -> list[tuple[int, int]]:
+    """Windows of a sentence as runs [a, b): a new one begins where, between windows that are sure of two languages, the language changes."""
+    cuts, last = [0], None
+    for i, (t, c) in enumerate(zip(top, conf, strict=True)):
+        if c < SURE or t == und:
+            continue
+        if last is not None and t != top[last]:
+            cuts.append(next(k for k in range(last + 1, i + 1) if top[k] != top[last]))
+        last = i
+    return list(zip(cuts, [*cuts[1:], len(top)], strict=True))
+
+
+def _classified(net: Network, texts: list[str | None]) -> tuple[list[int], list[list[tuple[str, str, float, int]]]]:
+    """The words of each text, and its segments (language, segment, confidence, words). Equal sentences are read once."""
+    languages, und = net.languages, net.languages.index(UND) if UND in net.languages else -1
+    number: dict[str, int] = {}
+    words, of = [], []
+    size: list[int] = []
+    for t in texts:
+        total, listed = counted(quiet(t)) if t else (0, ())
+        words.append(total)
+        mine = []
+        for s, n in listed:
+            i = number.setdefault(s, len(number))
+            if i == len(size):
+                size.append(n)
+            mine.append(i)
+        of.append(mine)
+    listed = list(number)
+    cuts = [windows(s) for s in listed]
     p = net.probabilities([w for c in cuts for w in c])
-    found: list[list[tuple[str, np.ndarray]]] = [[] for _ in texts]
+    top, conf = p.argmax(axis=1).tolist(), p.max(axis=1).tolist() if len(p) else []
+    #: of each sentence its pieces: text, words, language, confidence, probabilities
+    pieces: list[list[tuple[str, int, int, float, np.ndarray]]] = []
     at = 0
-    for (i, s), c in zip(parts, cuts, strict=True):
-        q = p[at : at + len(c)]
-        at += len(c)
-        if len(c) == 1:
-            found[i].append((s, q[0]))
-            continue
-        top = q.argmax(axis=1)
-        if top[0] != top[-1] and min(q[0].max(), q[-1].max()) >= 0.9:
-            k = int(np.flatnonzero(top != top[0])[0])
-            words = s.split()
-            half = len(words) * k // len(c) or 1
-            found[i] += [(" ".join(words[:half]), q[:k].mean(axis=0)), (" ".join(words[half:]), q[k:].mean(axis=0))]
+    for s, n, c in zip(listed, size, cuts, strict=True):
+        k = len(c)
+        if k == 1:
+            pieces.append([(s, n, top[at], conf[at], p[at])])
         else:
-            found[i].append((s, q.mean(axis=0)))
-    out: list[list[tuple[str, str, float]]] = []
-    for pieces in found:
-        sure = [d for _, d in pieces if d.max() >= 0.9 and net.languages[d.argmax()] != UND]
-        merged: list[tuple[str, str, float]] = []
-        for text, d in pieces:
-            if sure and d.max() < 0.9:
-                d = d * ((1 - CONTEXT) / len(d) + CONTEXT * np.mean(sure, axis=0))
-                d = d / d.sum()
-            lang, conf = net.languages[int(d.argmax())], float(d.max())
+            runs = _runs(top[at : at + k], conf[at : at + k], und)
+            split = s.split() if len(runs) > 1 else []
+            edges = [0, *[max(1, len(split) * b // k) for _, b in runs[:-1]], len(split)]
+            out = []
+            for (a, b), lo, hi in zip(runs, edges, edges[1:], strict=False):
+                part = s if len(runs) == 1 else " ".join(split[lo:hi])
+                if part:
+                    d = p[at + a : at + b].mean(axis=0)
+                    out.append((part, n if len(runs) == 1 else len(_WORD.findall(part)), int(d.argmax()), float(d.max()), d))
+            pieces.append(out)
+        at += k
+    found = []
+    for mine in of:
+        all_pieces = [x for i in mine for x in pieces[i]]
+        if any(x[3] < SURE for x in all_pieces):
+            sure = [x[4] for x in all_pieces if x[3] >= SURE and x[2] != und]
+            if sure:
+                mean = CONTEXT * np.mean(sure, axis=0)
+                all_pieces = [x if x[3] >= SURE else _weighed(x, mean) for x in all_pieces]
+        merged: list[tuple[int, str, float, int]] = []
+        for text, n, lang, c, _ in all_pieces:
             if merged and merged[-1][0] == lang:
-                before = merged[-1]
-                a, b = len(before[1]), len(text)
-                merged[-1] = (lang, f"{before[1]} {text}", (before[2] * a + conf * b) / max(1, a + b))
+                _, before, c0, n0 = merged[-1]
+                a, b = len(before), len(text)
+                merged[-1] = (lang, f"{before} {text}", (c0 * a + c * b) / max(1, a + b), n0 + n)
             else:
-                merged.append((lang, text, conf))
-        out.append(merged)
-    return out
+                merged.append((lang, text, c, n))
+        found.append([(languages[lang], text, c, n) for lang, text, c, n in merged])
+    return words, found
+
+
+def _weighed(piece: tuple, mean: np.ndarray) -> tuple:
+    text, n, _, _, d = piece
+    d = d * ((1 - CONTEXT) / len(d) + mean)
+    d = d / d.sum()
+    return text, n, int(d.argmax()), float(d.max()), d
+
+
+def classify(net: Network, texts: list[str | None]) -> list[list[tuple[str, str, float]]]:
+    """(language, segment, confidence) of each text, in order. Neighbouring sentences of one language are one segment.
+
+    A sentence of several windows has the mean of their probabilities, unless some of its windows are sure of different
+    languages: then it is taken for sentences that were run together, cut between words at every such change. A sentence
+    of which the network is unsure is weighed by the languages of which it is sure in the rest of the text.
+    """
+    return [[x[:3] for x in found] for found in _classified(net, texts)[1]]
 
 
 def segments(df: DataFrame, net: Network, keys: list[str], text_col: str, with_text: bool = True, rows: int = 4096) -> DataFrame:
@@ -383,12 +465,16 @@ def segments(df: DataFrame, net: Network, keys: list[str], text_col: str, with_t
             for i in range(0, b.num_rows, rows):
                 part = b.slice(i, rows)
                 texts = part.column(part.num_columns - 1).to_pylist()
-                listed, words = [], []
-                for t, found in zip(texts, classify(sent.value, texts), strict=True):
-                    listed.append([{"language": a, "confidence": c, "words": len(_WORD.findall(s)), "text": s} for a, s, c in found])
-                    words.append(n_words(t) if t else 0)
+                words, found = _classified(sent.value, texts)
+                flat = [x for one in found for x in one]
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(one) for one in found])]).astype(np.int32))
+                names = [pa.array([x[0] for x in flat], pa.string()), pa.array([x[2] for x in flat], pa.float64()), pa.array([x[3] for x in flat], pa.int32())]
+                if with_text:
+                    names.append(pa.array([x[1] for x in flat], pa.string()))
+                kind = arrow.field("segments").type
+                listed = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(names, fields=list(kind.value_type))).cast(kind)
                 columns = [c.cast(f.type) for c, f in zip(part.columns[:-1], arrow, strict=False)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int32()), pa.array(listed, arrow.field("segments").type)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int32()), listed], schema=arrow)
 
     return df.select(*keys, F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, schema)
 

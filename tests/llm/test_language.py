@@ -67,3 +67,22 @@ def test_stated(spark, label, code):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(language.stated(F.lit(label).cast("string"))).first()[0] == code
+
+
+def test_sentences_run_together_are_cut_at_every_change():
+    """a, b and c are languages, u is none; capitals are windows of which the network is sure."""
+    runs = lambda s: [s[a:b] for a, b in language._runs(["abcu".index(x.lower()) for x in s], [0.95 if x.isupper() else 0.5 for x in s], 3)]
+    assert runs("AAA") == ["AAA"] and runs("ABA") == ["A", "B", "A"] and runs("AbaB") == ["A", "baB"]
+    assert runs("AaaBcC") == ["Aaa", "B", "cC"] and runs("AUA") == ["AUA"] and runs("uab") == ["uab"] and runs("A") == ["A"]
+
+
+def test_words_of_plain_and_other_texts_are_counted_alike():
+    import random
+
+    rnd = random.Random(5)
+    bits = ["word ", "it's ", "two. ", "lol ", "haha! ", "é ", "12 ", "\n", "a-b ", "🎉", "smh", "? ", "(x) ", "[l](http://a.b) ", "#tag ", "&amp; "]
+    for _ in range(2000):
+        t = "".join(rnd.choices(bits, k=rnd.randrange(0, 12)))
+        total, found = language.counted(language.quiet(t))
+        assert total == len(language._WORD.findall(language._NOISE.sub(" ", t))) == language.n_words(t)
+        assert [s for s, _ in found] == [" ".join(s.split()) for s in language._END.split(language._NOISE.sub(" ", t)) if s and len(language._WORD.findall(s)) >= 2]
