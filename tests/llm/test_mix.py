@@ -1,5 +1,8 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from rivulet.llm import mix
 
 
@@ -67,3 +70,27 @@ def test_edges(spark):
     chosen, report = mix.mix(same, targets(spark, ("a", 1.0, 1)), "id")
     assert chosen.count() == 40
     assert mix.mix(df, targets(spark, ("nowhere", 1.0, 3)), "id")[0].count() == 0
+
+
+@pytest.mark.parametrize("around", [mix.AROUND, 50, 1])
+def test_budgets_are_met_at_any_depth(spark, monkeypatch, around):
+    """Refined to few records and to many, the budgets are met, and with them the shares."""
+    monkeypatch.setattr(mix, "AROUND", around)
+    rows, df = table(spark, 7, 2000)
+    plan = [("big", 0.6, 1), ("mid", 0.3, 2), ("small", 0.1, 3)]
+    sized = df.where("n_tokens > 0 AND source IS NOT NULL").select("source", "n_tokens", mix._hash(F.col("id")).alias("h"))
+    for b in mix.budgets(sized, targets(spark, *plan)):
+        assert abs(b.full * b.size + b.extra - b.wanted) <= mix.TOLERANCE * b.wanted + 5
+    chosen, report = mix.mix(df, targets(spark, *plan), "id")
+    check(rows, plan, chosen.collect(), report.collect())
+
+
+def test_what_is_left_is_filled_from_far_records(spark, monkeypatch):
+    """Behind the boundary stand large records only; the small one that fits is far away."""
+    monkeypatch.setattr(mix, "AROUND", 1)
+    rows = [(i, "a", 1000) for i in range(400)] + [(9000 + i, "a", 300) for i in range(2)] + [(20_000, "b", 100_350)]
+    df = spark.createDataFrame(rows, "id bigint, source string, n_tokens bigint")
+    plan = [("a", 0.5, 1), ("b", 0.5, 1)]
+    chosen, report = mix.mix(df, targets(spark, *plan), "id")
+    used = check(rows, plan, chosen.collect(), report.collect())
+    assert abs(used["a"] - 100_350) <= mix.TOLERANCE * 100_350 + 100
