@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rivulet.llm import abuse, distinct, frequent, language, mix, split, tokens
-from rivulet.session import cut, table
+from rivulet.session import table
 
 TOKENS_SHARE, ITEMS_SHARE = 0.0031, 0.01
 NO_AUTHORS = ("", "None", "[deleted]")
@@ -127,6 +130,15 @@ def p6_published(spark: SparkSession, d: str) -> DataFrame:
     return mine.join(published, ["day", "keyword"], "full")
 
 
+def p6_published_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The published columns of p6_published, and whether the exact count lies within the bounds or two of the estimate."""
+    rows = _author_rows(spark, d).where(F.col("keyword").isNotNull())
+    exact = rows.groupBy("day", "keyword").agg(F.count_distinct("author").alias("exact"))
+    got = p6_published(spark, d).join(exact, ["day", "keyword"], "left")
+    ok = F.coalesce(F.col("exact").between(F.col("low") - 2, F.col("high") + 2), F.col("estimate").isNull() & F.col("exact").isNull())
+    return got.select("day", "keyword", "windows", "sum_of_windows", "largest_window", ok.alias("within"))
+
+
 def p6_bounds(spark: SparkSession, d: str) -> DataFrame:
     """By level, how many groups there are and how many have their exact count within the three-sigma bounds or two of the estimate."""
     got = p6_authors(spark, d)
@@ -175,6 +187,17 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
+def p8_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes of all tokens of every document, which are those of its text, and the end of what they decode to."""
+
+    @F.pandas_udf("bytes bigint, tail string")
+    def decoded(column: pd.Series) -> pd.DataFrame:
+        lengths = tokens.encoder()[1]
+        return pd.DataFrame({"bytes": [int(lengths[np.asarray(x, np.int64)].sum()) for x in column], "tail": [tokens.decode([int(i) for i in x[-40:]])[-8:] for x in column]})
+
+    return tokens.encode(table(spark, d, "documents")).select("doc_id", decoded("ids").alias("r")).select("doc_id", "r.*")
+
+
 def _sized(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
     listed = docs.where(F.col("text").isNotNull()).join(F.broadcast(targets.select("source")), "source", "left_semi")
@@ -191,6 +214,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix(*_sized(spark, d), "doc_id")[1]
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """By listed source, whether it is used within its cap, and whether its share is met to a hundredth of all or 2 % of itself."""
+    report = p9_shares(spark, d)
+    near = F.abs(F.col("actual_share") - F.col("target_share")) <= F.greatest(F.lit(0.01), 0.02 * F.col("target_share"))
+    return report.select("source", "target_share", "max_repeats", (F.col("repeats") <= F.col("max_repeats")).alias("within_cap"), (near | (F.col("size") == 0)).alias("near"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that are longer than 512 tokens, from the pieces that they are cut into."""
     return split.split(table(spark, d, "documents"), with_text=False).where("piece = 0").select("doc_id")
@@ -201,9 +231,23 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split(table(spark, d, "documents"))
 
 
+def p10_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document of over 512 words: whether its pieces stay within the limit, follow each other with an overlap and cover the whole text."""
+    pieces = p10_pieces(spark, d)
+    w = W.partitionBy("doc_id").orderBy("piece")
+    follows = F.col("start").between(F.lag("start").over(w) + 1, F.lag("end").over(w))
+    marked = pieces.withColumn("_ok", F.when(F.col("piece") == 0, F.col("start") == 0).otherwise(follows) & (F.col("n_tokens") <= 512) & (F.length("text") == F.col("end") - F.col("start")))
+    by_doc = marked.groupBy("doc_id").agg(F.min("_ok").alias("ok"), F.max("end").alias("end"))
+    docs = table(spark, d, "documents").where(F.size(F.regexp_extract_all("text", F.lit("[^ \\t\\r\\n]+"), F.lit(0))) > 512).select("doc_id", F.length("text").alias("n"))
+    return docs.join(by_doc, "doc_id", "left").select("doc_id", F.coalesce("ok", F.lit(False)).alias("ok"), (F.coalesce("end", F.lit(0)) == F.col("n")).alias("whole"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_counts, p5_found, p5_segments, p5_comments, p6_authors, p6_published, p6_bounds, p7_found, p7_scores, p7_rates, p8_ids, p9_mixture, p9_shares, p10_found, p10_pieces)
+    for f in (
+        p1_found, p1_counts, p5_found, p5_segments, p5_comments, p6_authors, p6_published, p6_published_bounds, p6_bounds, p7_found, p7_scores, p7_rates,
+        p8_ids, p8_bytes, p9_mixture, p9_shares, p9_checks, p10_found, p10_pieces, p10_checks,
+    )
 }
 
 _P1 = """WITH t AS (SELECT lower(unnest(tokens)) AS item FROM reddit_comments_cleaned),
@@ -226,5 +270,13 @@ _GROUPS = """WITH r AS (SELECT CAST(to_timestamp(created_utc) AS DATE) AS day, s
 SQL = {
     "p1_found": f"{_P1} SELECT field, item FROM f",
     "p1_counts": f"{_P1} SELECT * FROM f",
+    "p6_published_bounds": """WITH a AS (SELECT DISTINCT CAST(to_timestamp(created_utc) AS DATE) AS day, unnest(matched_keywords) AS keyword
+      FROM reddit_comments_cleaned WHERE author NOT IN ('', 'None', '[deleted]')),
+    r AS (SELECT CAST(to_timestamp(window_start) AS DATE) AS day, keyword, count(unique_authors) AS windows, CAST(sum(unique_authors) AS BIGINT) AS sum_of_windows,
+      max(unique_authors) AS largest_window FROM analytics_results WHERE type = 'reach' AND keyword IS NOT NULL GROUP BY 1, 2)
+    SELECT day, keyword, windows, sum_of_windows, largest_window, true AS within FROM a FULL JOIN r USING (day, keyword) WHERE keyword IS NOT NULL""",
+    "p8_bytes": "SELECT doc_id, coalesce(strlen(text), 0) AS bytes, coalesce(right(text, 8), '') AS tail FROM documents",
+    "p9_checks": "SELECT source, target_share, max_repeats, true AS within_cap, true AS near FROM mix_targets",
+    "p10_checks": "SELECT doc_id, true AS ok, true AS whole FROM documents WHERE len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) > 512",
     "p6_bounds": f"{_GROUPS} SELECT level, count(*) AS n_groups, count(*) AS n_within FROM g GROUP BY level",
 }
