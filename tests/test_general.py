@@ -176,3 +176,20 @@ def test_pane_size():
     assert panes.pane_size(5400, 3600) == 1800
     with pytest.raises(ValueError):
         panes.pane_size(0, 1)
+
+
+def test_panes_give_back_the_rows_they_turn_away(spark):
+    rnd = random.Random(8)
+    t0 = datetime(2019, 4, 1, tzinfo=timezone.utc)
+    rows = [(rnd.randrange(3), i, 1554076800 + rnd.randrange(30_000), t0 + timedelta(seconds=rnd.randrange(45_000))) for i in range(400)] + [(0, 900, None, t0), (0, 901, 1554076800, None)]
+    df = spark.createDataFrame(rows, "p int, o int, t bigint, a timestamp").repartition(4)
+    judged = panes.judge(df, F.col("t"), F.col("a"), 3600, 7200)
+    parts = panes.past_panes(judged, ["p"], [F.floor(F.col("o") / 32)], ["o"])
+    got = parts.select("p", F.inline("past")).collect()
+    end = lambda t: t // 3600 * 3600 + 3600
+    want = {(p, o) for p, o, t, a in rows if t is not None and a is not None and a.timestamp() > end(t) + 7200}
+    assert {(r["p"], r["o"]) for r in got} == want and len(got) == len(want) > 50
+    whole = panes.panes(judged, ["p"], {})
+    for c in ("n", "n_late", "n_past"):
+        assert parts.agg(F.sum(c)).first() == whole.agg(F.sum(c)).first()
+    assert max(r["n_past"] for r in parts.collect()) <= 32
