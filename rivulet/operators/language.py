@@ -41,8 +41,11 @@ class Detector:
         at = np.minimum(np.searchsorted(self.grams, codes), max(0, len(self.grams) - 1))
         known = np.flatnonzero(inside & (self.grams[at] == codes)) if len(self.grams) else np.empty(0, np.int64)
         of = row[known]
-        score = np.stack([np.bincount(of, self.log[at[known], j], len(texts)) for j in range(len(self.languages))], axis=1) if len(texts) else np.zeros((0, 1))
-        seen = np.bincount(of, minlength=len(texts)) > 0
+        score, seen = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), bool)
+        if len(of):
+            starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            score[of[starts]] = np.add.reduceat(self.log[at[known]], starts, axis=0)
+            seen[of[starts]] = True
         return [self.languages[j] if s else None for j, s in zip(score.argmax(axis=1).tolist(), seen.tolist(), strict=True)]
 
 

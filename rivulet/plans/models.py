@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions import text as X
+from rivulet.functions.stem import stem_tokens
 from rivulet.ml import lexicon, model, vectors
 from rivulet.plans.stated import BLANK, strip
 from rivulet.schemas import LABELLED
@@ -108,6 +109,12 @@ def labelled_corpus(spark: SparkSession, d: str) -> DataFrame:
     return read.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("tokens"), F.count("language").alias("n_languages"))
 
 
+def stems(spark: SparkSession, d: str) -> DataFrame:
+    """The stem of every token."""
+    tokens = table(spark, d, "reddit_comments_cleaned").select(F.explode("tokens").alias("token")).where("token IS NOT NULL").distinct()
+    return tokens.select("token", stem_tokens(F.array("token"))[0].alias("stem"))
+
+
 def first_texts(spark: SparkSession, d: str) -> DataFrame:
     """The text that is labelled: the first of the bodies that is not blank, else the tokens."""
     text = X.first_text(F.col("original_body"), F.col("cleaned_body"), tokens=F.col("tokens"))
@@ -139,7 +146,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_sizes, tfidf_weights, model_evaluation, model_floor, stored_model, null_scores, word_vectors, lexicon_scores, lexicon_labels,
-        labelled_corpus, first_texts, label_confusion, cache_keys, embedding_similarity,
+        labelled_corpus, stems, first_texts, label_confusion, cache_keys, embedding_similarity,
     )
 }
 

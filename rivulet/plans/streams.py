@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.config import Settings
+from rivulet.ml import model
 from rivulet.operators import keywords
-from rivulet.plans import general, pipeline
+from rivulet.plans import general, models, pipeline
 from rivulet.session import scratch, table, table_path
 from rivulet.sources import topics
 from rivulet.sources.topics import table_stream
@@ -115,6 +116,55 @@ def stream_cleaning(spark: SparkSession, d: str) -> DataFrame:
     return good.agg(*n, F.sum(F.size("matched_keywords")).alias("n_keywords")).unionByName(bad.agg(*n, F.lit(0).cast("bigint").alias("n_keywords")))
 
 
+def stream_scored(spark: SparkSession, d: str) -> DataFrame:
+    """The first stage with a stored model: by status, the comments and those with a label."""
+    root = _folder(spark)
+    pipeline.raw_json(spark, d).select("value").write.text(f"{root}/in")
+    store = model.Store(spark, f"{root}/models")
+    labelled = table(spark, d, "reddit_comments_cleaned").select("tokens", F.col("sentiment_label").alias("label"))
+    store.save(model.fit(model.dataset(labelled), max_iter=3), version="v1")
+    run = job.Job(spark, Settings(), f"{root}/out", store=store, detector=pipeline.detector(spark, d))
+    run.start_cleaning(topics.lines_stream(spark, f"{root}/in"), availableNow=True).awaitTermination()
+    out = spark.read.parquet(f"{run.root}/cleaned").groupBy("sentiment_status", "sentiment_model")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count("sentiment_label").alias("n_labels"))
+
+
+def stream_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Sentiment windows of a stream that was stopped after half of its input and started again from its checkpoint.
+
+    Comments of time 0 are left out: after the restart they lie behind any watermark.
+    """
+    df = table(spark, d, "reddit_comments_cleaned").where(F.col("created_utc") > 0)
+    root, schema = _folder(spark), df.schema
+    put = lambda out, n: sinks.put_batch(out, f"{root}/out", n)
+    for part in (0, 1):
+        df.where(F.pmod(F.xxhash64(*pipeline.POS), F.lit(2)) == part).write.mode("append").parquet(f"{root}/in")
+        rows = job.sentiment(job.with_watermark(table_stream(spark, f"{root}/in", schema, 2), PATIENT), PATIENT.window_s)
+        query = rows.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    values = F.struct("positive_ratio", "comment_count")
+    keys = ["keyword", "window_start", "window_end"]
+    return spark.read.parquet(f"{root}/out").groupBy(*keys).agg(F.max_by(values, "batch").alias("r")).select(*keys, "r.*")
+
+
+def stream_labelling(spark: SparkSession, d: str) -> DataFrame:
+    """Labels by the word list appended to a corpus as comments arrive, and the models that were trained on the way."""
+    root = _folder(spark)
+    keeper = model.Retrainer(model.Store(spark, f"{root}/models"), every=1, max_iter=3)
+    labels = job.Labelling(spark, root, keeper, report=lambda text: None)
+    _run(spark, table_stream(spark, table_path(d, "reddit_comments_cleaned"), table(spark, d, "reddit_comments_cleaned").schema), labels)
+    out = labels.corpus().groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("trained", F.lit(len(keeper.store.versions()) > 0))
+
+
+def replay_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The limits of replay controls, and when a replay from before what was sent warns."""
+    asked = [("speed", 0.0), ("speed", 5e3), ("limit", 5.0), ("limit", 9e6), ("skip", -1.0), ("skip", 6e7), ("parallelism", 9.0), ("window", 1.0), ("window", 60.0)]
+    rows = [(f"{n} {v:g}", float(job.clamp(n, v))) for n, v in asked]
+    rows += [(f"replay {a} of {b}", float(job.replay_warning(a, b) is not None)) for a, b in ((0, 10), (10, 10), (11, 10))]
+    return spark.createDataFrame(rows, "asked string, given double")
+
+
 def _panes(spark: SparkSession, d: str, by_window: bool) -> DataFrame:
     path, root = table_path(d, "reddit_comments"), _folder(spark)
     size, slide = 6 * 3600, 2 * 3600
@@ -138,6 +188,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stream_sentiment, stream_reach, stream_closed_sentiment, stream_closed_reach, stream_trending, stream_late_drops, stream_cleaning,
+        stream_scored, stream_resumed, stream_labelling, replay_limits,
         stream_panes, stream_windows,
     )
 }
@@ -184,6 +235,15 @@ SQL = {
     UNION ALL SELECT error, count(*), 0 FROM (SELECT CASE WHEN body IS NULL OR {_EMPTY} THEN 'empty_body' WHEN body IN ('[deleted]', '[removed]') THEN 'deleted_body'
       WHEN coalesce(created_utc, -1) < 0 THEN 'invalid_created_utc' END AS error FROM reddit_comments) WHERE error IS NOT NULL GROUP BY error""",
     "stream_sentiment": pipeline.SQL["sentiment_windows"],
+    "stream_scored": f"""WITH cl AS ({pipeline.SQL["cleaned_comments"]}), st AS (SELECT CASE WHEN len(string_split(tokens, '|')) >= 2 THEN 'scored'
+      ELSE 'skipped_too_short' END AS sentiment_status FROM cl)
+    SELECT sentiment_status, CASE WHEN sentiment_status = 'scored' THEN 'v1' END AS sentiment_model, count(*) AS n,
+    count(*) FILTER (sentiment_status = 'scored') AS n_labels FROM st GROUP BY sentiment_status""",
+    "stream_resumed": f"SELECT * FROM ({pipeline.SQL['sentiment_windows']}) WHERE window_start > 0",
+    "stream_labelling": f"""WITH {models._LEXICON} SELECT label, count(*) AS n, true AS trained FROM z JOIN reddit_comments_cleaned USING (kafka_partition, kafka_offset)
+    WHERE label <> 'neutral' AND len(tokens) > 0 GROUP BY label""",
+    "replay_limits": """SELECT * FROM (VALUES ('speed 0', 0.1::DOUBLE), ('speed 5000', 1000), ('limit 5', 1000), ('limit 9e+06', 5000000), ('skip -1', 0), ('skip 6e+07', 50000000),
+    ('parallelism 9', 4), ('window 1', 5), ('window 60', 60), ('replay 0 of 10', 1), ('replay 10 of 10', 0), ('replay 11 of 10', 0)) AS t(asked, given)""",
     "stream_reach": pipeline.SQL["reach_windows"],
     "stream_panes": general.SQL["p4_sliding"].replace(general._FIRST_COMMENTS, _ALL),
     "stream_windows": general.SQL["p4_windows"].replace(general._FIRST_COMMENTS, _ALL),
