@@ -23,6 +23,8 @@ NO_IDS = ("", "None")
 BROADCAST_BYTES = 64 << 20
 _ROW_BYTES = 96  # of a row beside its identifier, in a hash table
 _VECTOR_BYTES = 4096 + 64
+#: An identifier on so many rows is hot: there are at most 1,000 of them in 10^9 rows.
+HOT_ROWS = 1_000_000
 #: Rows of a file that one vector covers (the size of the built-in bitmaps).
 ROWS = 32_768
 
@@ -46,11 +48,16 @@ class DedupPlan:
         narrow = _positions(self.spark.read.parquet(self.path), self.id_col, self.order, self.no_ids).select(
             "_id", "_file", "_row"
         )
-        winners = self.repeated.select("_id", F.col("_w._file").alias("_wf"), F.col("_w._row").alias("_wr"))
+        winners = self.repeated.select("_id", "_n", F.col("_w._file").alias("_wf"), F.col("_w._row").alias("_wr"))
         size = winners.agg(F.sum(F.octet_length(F.col("_id").cast("string")) + _ROW_BYTES)).first()[0] or 0
         if size <= BROADCAST_BYTES:
-            winners = F.broadcast(winners)
-        losers = narrow.join(winners, "_id").where(~((F.col("_file") == F.col("_wf")) & (F.col("_row") == F.col("_wr"))))
+            pairs = narrow.join(F.broadcast(winners), "_id")
+        else:
+            # identifiers on HOT_ROWS rows or more are as few as that says, and their rows never meet in one task
+            marked = narrow.join(F.broadcast(winners.where(F.col("_n") >= HOT_ROWS)), "_id", "left")
+            cold = marked.where(F.col("_wf").isNull()).select("_id", "_file", "_row").join(winners.where(F.col("_n") < HOT_ROWS), "_id")
+            pairs = marked.where(F.col("_wf").isNotNull()).unionByName(cold)
+        losers = pairs.where(~((F.col("_file") == F.col("_wf")) & (F.col("_row") == F.col("_wr"))))
         at = F.col("_row") + 1
         return losers.groupBy("_file", F.bitmap_bucket_number(at).alias("_bucket")).agg(
             F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rivulet.functions import text as X
 from rivulet.functions.sketches import CMS_DEPTH, CMS_WIDTH
@@ -133,12 +136,23 @@ def trending(df: DataFrame, size: int, stopwords: Sequence[str] = STOPWORDS, **h
     return publish(term_counts(first_of_body(df, size), size, stopwords), size, **how)
 
 
+#: Occurrences that a task holds before it picks its candidates.
+HELD = 1_000_000
+
+
+def _leading(counted: DataFrame, keys: Sequence[str], capacity: int) -> DataFrame:
+    """(keys, term, n): of every group the capacity terms with the largest n."""
+    w = W.partitionBy(*keys).orderBy(F.desc("n"), "term")
+    return counted.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= capacity).select(*keys, "term", "n")
+
+
 @dataclass(frozen=True)
 class Counters:
-    """A trending counter of bounded size for each group: cells of a Count-Min sketch, and the state of a sketch of candidates.
+    """A trending counter of bounded size for each group: the cells of a Count-Min sketch, and its candidates.
 
-    The candidates are max(8 k, 128) terms; what they are ranked by is their estimate in the merged cells times their
-    weight, so a telling term of modest count can still rank.
+    The candidates (keys, term, n) are max(8 k, 128) terms; n is what was seen of them where they were among the leading
+    ones, and only says which to keep. What they are ranked by is their estimate in the merged cells times their weight,
+    so a telling term of modest count can still rank.
     """
 
     keys: tuple[str, ...]
@@ -146,28 +160,48 @@ class Counters:
     cells: DataFrame
     candidates: DataFrame
 
-    @property
-    def capacity(self) -> int:
-        return max(8 * self.k, 128)
-
     @staticmethod
     def build(rows: DataFrame, keys: Sequence[str], k: int = 20) -> Counters:
-        """rows: keys and term, one row for each occurrence. Both sketches are combined before the shuffle."""
-        state = F.call_function("approx_top_k_accumulate", F.col("term"), F.lit(max(8 * k, 128)))
-        candidates = rows.groupBy(*keys).agg(state.alias("state"), F.count(F.lit(1)).alias("total"))
-        return Counters(tuple(keys), k, countmin.build(rows, keys, "term"), candidates)
+        """rows: keys and term, one row for each occurrence. A task keeps the leading terms of each group that it has seen."""
+        capacity = max(8 * k, 128)
+        schema = T.StructType([*[rows.schema[c] for c in keys], T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
+        arrow = to_arrow_schema(schema)
+
+        def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            for b in batches:
+                held.append(b)
+                if sum(x.num_rows for x in held) >= HELD:
+                    yield from picked(held)
+                    held = []
+            yield from picked(held)
+
+        def picked(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            counted = pa.Table.from_batches(held).group_by([*keys, "term"]).aggregate([([], "count_all")]).rename_columns([*keys, "term", "n"])
+            counted = counted.sort_by([*[(c, "ascending") for c in keys], ("n", "descending"), ("term", "ascending")])
+            names = counted.select(list(keys)).to_pandas()
+            place = names.groupby(list(keys), dropna=False).cumcount().to_numpy()
+            kept = counted.filter(pa.array(place < capacity))
+            yield from kept.select(schema.names).cast(arrow).combine_chunks().to_batches()
+
+        parts = rows.select(*keys, "term").mapInArrow(lead, schema)
+        found = _leading(parts.groupBy(*keys, "term").agg(F.sum("n").alias("n")), keys, capacity)
+        return Counters(tuple(keys), k, countmin.build(rows, keys, "term"), found)
 
     def merge(self, keys: Sequence[str]) -> Counters:
-        """The counters of coarser groups."""
-        state = F.call_function("approx_top_k_combine", F.col("state"), F.lit(self.capacity))
-        candidates = self.candidates.groupBy(*keys).agg(state.alias("state"), F.sum("total").alias("total"))
-        return Counters(tuple(keys), self.k, countmin.merge(self.cells, keys), candidates)
+        """The counters of coarser groups: cells are added, candidates joined, the leading ones kept."""
+        joined = self.candidates.groupBy(*keys, "term").agg(F.sum("n").alias("n"))
+        return Counters(tuple(keys), self.k, countmin.merge(self.cells, keys), _leading(joined, keys, max(8 * self.k, 128)))
+
+    def totals(self) -> DataFrame:
+        """(keys, total): all occurrences of each group."""
+        return self.cells.where("row = 0").groupBy(*self.keys).agg(F.sum("count").alias("total"))
 
     def estimates(self) -> DataFrame:
         """(keys, term, count) of the candidates of every group."""
-        listed = F.call_function("approx_top_k_estimate", F.col("state"), F.lit(self.capacity))
-        asked = self.candidates.select(*self.keys, F.explode(listed).alias("c")).select(*self.keys, F.col("c.item").alias("term"))
-        return countmin.estimate(self.cells, asked, self.keys, "term").withColumnRenamed("estimate", "count")
+        return countmin.estimate(self.cells, self.candidates.select(*self.keys, "term"), self.keys, "term").withColumnRenamed("estimate", "count")
 
     def top(self, zipf: DataFrame | None = None) -> DataFrame:
         """(keys, term, count, score, rank) of the k best terms of every group, by score, then by term."""

@@ -189,20 +189,22 @@ def trending_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trending_counters(spark: SparkSession, d: str) -> DataFrame:
-    """Trending counters of an hour merged to days: their terms, the estimates that are too low (none), and how many of the
-    terms with 1 % of all occurrences are among the candidates (all)."""
+    """Trending counters of six hours merged to days: their terms, the estimates that are too low (none), how many of the terms
+    with 1 % of all occurrences are among the candidates (all), and how many terms are ranked."""
     rows = trending.term_rows(trending.first_of_body(_cleaned(spark, d), HOUR), trending.STOPWORDS, "created_utc")
-    rows = rows.withColumns({"window_start": windows.bucket(F.col("created_utc"), HOUR), "day": windows.bucket(F.col("created_utc"), 24 * HOUR)})
+    rows = rows.withColumns({"window_start": windows.bucket(F.col("created_utc"), 6 * HOUR), "day": windows.bucket(F.col("created_utc"), 24 * HOUR)})
     days = trending.Counters.build(rows, ["keyword", "window_start", "day"]).merge(["keyword", "day"])
     exact = rows.groupBy("keyword", "day", "term").agg(F.count(F.lit(1)).alias("n"))
-    totals = days.candidates.select("keyword", "day", F.col("total").alias("n_terms"))
+    totals = days.totals().withColumnRenamed("total", "n_terms")
     got = exact.join(totals, ["keyword", "day"]).join(days.estimates(), ["keyword", "day", "term"], "left")
+    ranked = days.top().groupBy("keyword", "day").agg(F.count(F.lit(1)).alias("n_ranked"))
     heavy = F.col("n") >= F.col("n_terms") * 0.01
-    return got.groupBy("keyword", "day", "n_terms").agg(
+    by_day = got.groupBy("keyword", "day", "n_terms").agg(
         F.count(F.when(F.col("count") < F.col("n"), 1)).alias("n_low"),
         F.count(F.when(heavy, 1)).alias("n_heavy"),
         F.count(F.when(heavy & F.col("count").isNotNull(), 1)).alias("n_found"),
     )
+    return by_day.join(ranked, ["keyword", "day"])
 
 
 def sketch_bounds(spark: SparkSession, d: str) -> DataFrame:
@@ -351,7 +353,7 @@ SQL = {
     c AS (SELECT keyword, created_utc // 86400 * 86400 AS day, term, count(*) AS n FROM s GROUP BY 1, 2, 3),
     w AS (SELECT *, sum(n) OVER (PARTITION BY keyword, day) AS total FROM c)
     SELECT keyword, day, CAST(max(total) AS BIGINT) AS n_terms, 0 AS n_low, count(*) FILTER (n * 100 >= total) AS n_heavy,
-    count(*) FILTER (n * 100 >= total) AS n_found FROM w GROUP BY keyword, day""",
+    count(*) FILTER (n * 100 >= total) AS n_found, least(count(*), 20) AS n_ranked FROM w GROUP BY keyword, day""",
     "sketch_bounds": f"""WITH {_terms_sql("reddit_comments_cleaned")}, c AS (SELECT DISTINCT keyword, term FROM s)
     SELECT keyword, count(*) AS n_terms, 0 AS n_low, true AS within_bound FROM c GROUP BY keyword""",
     "top_keywords": """SELECT k AS keyword, count(*) AS n FROM (SELECT unnest(matched_keywords) AS k FROM reddit_comments_cleaned)
@@ -427,11 +429,11 @@ SQL = {
     "label_counts": "SELECT sentiment_label AS label, count(*) AS n FROM reddit_comments_cleaned GROUP BY 1",
     "replay_range": f"""SELECT coalesce(id, '') AS id, coalesce(author, '') AS author, created_utc, body, coalesce(score, 0) AS score,
     coalesce(subreddit, '') AS subreddit, coalesce(controversiality, 0) AS controversiality, kafka_partition, kafka_offset FROM reddit_comments
-    WHERE created_utc BETWEEN {replay.DATE_START} AND {replay.DATE_END} AND trim(body) <> '' AND body NOT IN ('[deleted]', '[removed]')""",
+    WHERE created_utc BETWEEN 1554076800 AND 1555472130 AND trim(body) <> '' AND body NOT IN ('[deleted]', '[removed]')""",
     "replay_groups": """WITH r AS (SELECT *, lag(created_utc) OVER w AS before FROM reddit_comments WHERE created_utc IS NOT NULL
       WINDOW w AS (PARTITION BY kafka_partition ORDER BY kafka_offset)),
     g AS (SELECT *, sum(CASE WHEN before = created_utc THEN 0 ELSE 1 END) OVER (PARTITION BY kafka_partition ORDER BY kafka_offset) AS run FROM r)
     SELECT kafka_partition, CAST(run AS BIGINT) AS run, created_utc, count(*) AS n, min(kafka_offset) AS first FROM g GROUP BY kafka_partition, run, created_utc""",
     "replay_slice": f"""SELECT kafka_partition, kafka_offset, id, created_utc FROM reddit_comments
-    WHERE created_utc BETWEEN {replay.DATE_START} AND {replay.DATE_END} ORDER BY ingest_ts, kafka_partition, kafka_offset LIMIT 500 OFFSET 100""",
+    WHERE created_utc BETWEEN 1554076800 AND 1555472130 ORDER BY ingest_ts, kafka_partition, kafka_offset LIMIT 500 OFFSET 100""",
 }

@@ -36,6 +36,7 @@ def brute_dedup(rows):
 @pytest.mark.parametrize("bound", [dedup.BROADCAST_BYTES, 1])
 def test_dedup(spark, tmp_path, bound, monkeypatch):
     monkeypatch.setattr(dedup, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(dedup, "HOT_ROWS", 20)
     rows = deliveries(900)
     spark.createDataFrame(rows, SCHEMA).repartition(7).write.parquet(str(tmp_path / "t"))
     plan = dedup.dedup_plan(spark, str(tmp_path / "t"))

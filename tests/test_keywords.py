@@ -106,3 +106,8 @@ def test_senses_of_a_batch_are_those_of_each_list():
     got = K._sense_batch(lists, pd.Index(names), np.array([vectors[w] for w in names]), subs, 0.20, 0.05)
     for k, listed in subs.items():
         assert got[k].tolist() == [K.embedding_sense(ts, listed, vectors) for ts in lists]
+
+
+def test_no_keywords_at_all(spark):
+    df = spark.createDataFrame([("some text", ["some", "text"]), (None, None)], "cleaned_body string, tokens array<string>")
+    assert [(r["matched_keywords"], r["keyword_senses"]) for r in K.tag(df, {}).collect()] == [([], {})] * 2
