@@ -215,17 +215,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_checks(spark: SparkSession, d: str) -> DataFrame:
-    """By listed source, whether it is used within its cap, and whether its share is met to a hundredth of all and its largest record.
+    """By listed source, whether it is used within its cap, and whether it gives its share of the largest total at which all can.
 
-    Records are taken whole, so where a source has few of them its share can miss the target by part of one.
+    Records are taken whole, so that a share can be missed by part of a record: by a five-hundredth of it, or less than the
+    largest record of the source.
     """
     sized, targets = _sized(spark, d)
     sized = cut(sized)
     report = mix.mix(sized, targets, "doc_id")[1]
     largest = sized.groupBy("source").agg(F.max("n_tokens").alias("largest"))
-    total = report.agg(F.sum("tokens").alias("t"))
-    missed = F.abs(F.col("tokens") - F.col("target_share") * total.scalar())
-    near = missed <= 0.01 * total.scalar() + F.coalesce("largest", F.lit(0))
+    total = report.where("size > 0").agg(F.floor(F.min(F.col("size") * F.col("max_repeats") / F.col("target_share"))).alias("t"))
+    wanted = F.col("target_share") * total.scalar()
+    near = F.abs(F.col("tokens") - wanted) <= F.greatest(mix.TOLERANCE * wanted, F.coalesce("largest", F.lit(0)))
     return report.join(F.broadcast(largest), "source", "left").select(  # one row for each listed source
         "source", "target_share", "max_repeats", (F.col("repeats") <= F.col("max_repeats")).alias("within_cap"), (near | (F.col("size") == 0)).alias("near")
     )
