@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.llm.batches import bounded
+
 UND = "und"
 WINDOW, STRIDE = 96, 64
 DIM, WIDTHS, FILTERS = 12, (2, 3, 4), (32, 48, 64)
@@ -461,7 +463,7 @@ def segments(df: DataFrame, net: Network, keys: list[str], text_col: str, with_t
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             for i in range(0, b.num_rows, rows):
                 part = b.slice(i, rows)
                 texts = part.column(part.num_columns - 1).to_pylist()

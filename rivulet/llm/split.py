@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rivulet.llm.batches import bounded
 from rivulet.llm.tokens import NAME, TOKENIZERS, _arrow_type, encode_text, encoder
 
 #: From the coarsest separator to the finest; a cut is made after the match. Below words, cuts are made between characters.
@@ -176,7 +177,7 @@ def split(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, lengths = encoder(folder, name)
-        for b in batches:
+        for b in bounded(batches):
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for k, (lo, hi, n) in enumerate(split_text(t, enc, lengths, limit, overlap) or ()):

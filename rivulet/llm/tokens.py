@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rivulet.llm.batches import bounded
 from rivulet.session import cut
 
 TOKENIZERS = "/opt/tokenizers"
@@ -118,7 +119,7 @@ def encode(
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, name)[0]
-        for b in batches:
+        for b in bounded(batches):
             ids = [enc.encode_ordinary(t) if t else [] for t in b.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.fromiter((i for x in ids for i in x), np.int32, offsets[-1])
@@ -200,7 +201,7 @@ def measure(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, name)[0]
-        for b in batches:
+        for b in bounded(batches):
             n = [sum(len(enc.encode_ordinary(p)) for p in stretches(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
             ids = [c.cast(t.type) for c, t in zip(b.columns[:-1], arrow, strict=False)]
             yield pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int64())], schema=arrow)

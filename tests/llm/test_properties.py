@@ -64,3 +64,16 @@ def test_any_text_is_scored_and_cut(text):
     assert 0 <= score <= 1 and (restored is None) == (score == 0)
     assert all(len(language.windows(s)[0]) <= language.WINDOW for s in language.sentences(text))
     assert language.n_words(text) >= 0
+
+
+def test_batches_of_bounded_text():
+    import pyarrow as pa
+
+    from rivulet.llm.batches import bounded
+
+    texts = ["aa", None, "", "b" * 50, "ccc", "é" * 4, None, "d" * 7]
+    b = pa.record_batch([pa.array(range(8)), pa.array(texts)], names=["i", "t"])
+    for most in (1, 5, 10, 60, 1000):
+        out = list(bounded([b, b.slice(3, 2), b.slice(0, 0)], most))
+        assert [x for o in out for x in o.column(1).to_pylist()] == [*texts, *texts[3:5]]
+        assert all(o.num_rows == 1 or sum(len((t or "").encode()) for t in o.column(1).to_pylist()) <= most for o in out)
