@@ -20,6 +20,8 @@ from rivulet.functions import text as X
 SHORTEST = 20
 #: At most so many trigrams of each language are kept, the most frequent ones; a language has fewer that matter.
 MAX_GRAMS = 50_000
+#: Characters that are worked on at once.
+PIECE = 1 << 20
 #: What is added to each count.
 SMOOTH = 0.5
 
@@ -34,19 +36,34 @@ class Detector:
 
     def detect(self, texts: list[str]) -> list[str | None]:
         """The likeliest language of each text (the first one of several); None for a text without a known trigram."""
-        c = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        row = np.cumsum(c == 10)
-        codes = _codes(c)
-        inside = (c[:-2] != 10) & (c[1:-1] != 10) & (c[2:] != 10)
-        at = np.minimum(np.searchsorted(self.grams, codes), max(0, len(self.grams) - 1))
-        known = np.flatnonzero(inside & (self.grams[at] == codes)) if len(self.grams) else np.empty(0, np.int64)
-        of = row[known]
         score, seen = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), bool)
+        held, rows, size = [], [], 0
+        for i, t in enumerate(texts):
+            for at in range(0, max(len(t) - 2, 0), PIECE):  # a long text counts piece by piece
+                held.append(t[at : at + PIECE + 2])
+                rows.append(i)
+                size += len(held[-1])
+                if size >= PIECE:
+                    self._add(held, rows, score, seen)
+                    held, rows, size = [], [], 0
+        self._add(held, rows, score, seen)
+        return [self.languages[j] if s else None for j, s in zip(score.argmax(axis=1).tolist(), seen.tolist(), strict=True)]
+
+    def _add(self, pieces: list[str], rows: list[int], score: np.ndarray, seen: np.ndarray) -> None:
+        """Add the log-probabilities of pieces without line ends to the scores of the texts that they belong to."""
+        if not pieces or not len(self.grams):
+            return
+        c = np.frombuffer("\n".join([*pieces, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        piece, codes = np.cumsum(c == 10), _codes(c)
+        inside = (c[:-2] != 10) & (c[1:-1] != 10) & (c[2:] != 10)
+        at = np.minimum(np.searchsorted(self.grams, codes), len(self.grams) - 1)
+        known = np.flatnonzero(inside & (self.grams[at] == codes))
+        of = piece[known]
         if len(of):
             starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            score[of[starts]] = np.add.reduceat(self.log[at[known]], starts, axis=0)
-            seen[of[starts]] = True
-        return [self.languages[j] if s else None for j, s in zip(score.argmax(axis=1).tolist(), seen.tolist(), strict=True)]
+            row = np.array(rows)[of[starts]]
+            np.add.at(score, row, np.add.reduceat(self.log[at[known]], starts, axis=0))
+            seen[row] = True
 
 
 def _codes(c: np.ndarray) -> np.ndarray:

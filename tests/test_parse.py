@@ -81,3 +81,11 @@ def test_detector(spark, detector, sf):
         language.train(empty)
     df = spark.createDataFrame([("Dit is een heel lange Nederlandse zin",), (None,), ("x",)], "t string")
     assert [r[0] for r in df.select(language.is_english(spark, F.col("t"), None)).collect()] == [True] * 3
+
+
+def test_detector_reads_long_texts_piece_by_piece(detector, monkeypatch):
+    texts = [" the end of the story ", "", " der hund und die katze ", " le chien et le chat " * 40, "ab", " x "]
+    whole = detector.detect(texts)
+    for size in (1, 3, 50):
+        monkeypatch.setattr(language, "PIECE", size)
+        assert detector.detect(texts) == whole
