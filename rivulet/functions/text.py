@@ -7,7 +7,7 @@ underscore in any script, white space includes the Unicode separators.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +38,18 @@ could should will can its also than then when
 """.split()
 
 
+def slices(sizes: Iterable[int], most: int) -> Iterator[slice]:
+    """Slices of a batch whose sizes add up to at most so much, or that are a single row: long texts in one batch do not add up."""
+    start = total = i = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
+            yield slice(start, i)
+            start, total = i, 0
+        total += n
+    if sizes:
+        yield slice(start, i + 1)
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value computed once however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)

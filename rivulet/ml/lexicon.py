@@ -39,6 +39,8 @@ STRONGER = frozenset(
 WEAKER = frozenset("almost barely hardly kinda less little marginally occasionally partly scarcely slightly somewhat sorta".split())
 #: How much a word strengthens, capitals add, a negation turns; what a distance of two or three words leaves (fixed values).
 BOOST, CAPITALS, NEGATE, DISTANCE = 0.293, 0.733, -0.74, (1.0, 0.95, 0.9)
+#: Characters that are worked on at once.
+SLICE = 4 << 20
 
 
 def read_valences(path: str) -> dict[str, float]:
@@ -111,7 +113,9 @@ def score(spark: SparkSession, text: Column, valence: Mapping[str, float] = VALE
 
     @F.pandas_udf("double")
     def scores(column: pd.Series) -> pd.Series:
-        return pd.Series(compounds(column.tolist(), sent.value))
+        texts = column.tolist()
+        parts = [compounds(texts[part], sent.value) for part in X.slices([len(t or "") for t in texts], SLICE)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return scores(text)
 

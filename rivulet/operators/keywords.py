@@ -221,8 +221,12 @@ def embedding_senses(
     @F.pandas_udf("map<string,string>")
     def senses(column: pd.Series) -> pd.Series:
         vocabulary, rows, subs = sent.value
-        picks = _sense_batch([[t.lower() for t in ts if t] if ts is not None else [] for ts in column], pd.Index(vocabulary), rows, subs, least, margin)
-        return pd.Series([dict(zip(subs, p, strict=True)) for p in zip(*picks.values(), strict=True)] if len(column) else [], dtype=object)
+        index, out = pd.Index(vocabulary), []
+        for part in X.slices([0 if ts is None else len(ts) for ts in column], 500_000):
+            lists = [[t.lower() for t in ts if t] if ts is not None else [] for ts in column.iloc[part]]
+            picks = _sense_batch(lists, index, rows, subs, least, margin)
+            out += [dict(zip(subs, p, strict=True)) for p in zip(*picks.values(), strict=True)]
+        return pd.Series(out, dtype=object)
 
     return senses(tokens)
 

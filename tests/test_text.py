@@ -93,3 +93,11 @@ def test_stems_of_the_published_sample(spark):
     assert [stem(w) for w in ("Running", "it's", "x2", "!!", "🎉", "s", "")] == ["run", "it", "x2", "!!", "🎉", "s", ""]
     df = spark.createDataFrame([(["Dogs", None, "dogs"],), (None,), ([],)], "t array<string>")
     assert [r[0] for r in df.select(stem_tokens(F.col("t"))).collect()] == [["dog", None, "dog"], None, []]
+
+
+def test_slices_of_a_batch():
+    for sizes in ([], [0], [5], [1, 2, 3, 4], [9, 1, 1, 9, 0, 0, 3], [0] * 5):
+        for most in (1, 3, 100):
+            out = list(X.slices(sizes, most))
+            assert [i for p in out for i in range(p.start, p.stop)] == list(range(len(sizes)))
+            assert all(p.stop - p.start == 1 or sum(sizes[p]) <= most for p in out)
